@@ -38,3 +38,19 @@ def task_count(spark: SparkSession, rows: int, rows_each: int) -> int:
 def sized(df: DataFrame, rows: int, row_bytes: int, most: int = 32 << 20) -> DataFrame:
     """df with a broadcast hint if so many rows are at most `most` bytes; beyond that the join shuffles."""
     return F.broadcast(df) if rows * row_bytes <= most else df
+
+
+def spread(spark: SparkSession, value: object):
+    """Broadcasts an object of a class of this subpackage; call the result in a task to get it.
+
+    Broadcast values are pickled by reference to their class, so only the attributes are sent and the class goes with
+    the function.
+    """
+    kind, state = type(value), spark.sparkContext.broadcast(vars(value))
+
+    def get():
+        out = object.__new__(kind)
+        out.__dict__.update(state.value)
+        return out
+
+    return get
