@@ -97,15 +97,24 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return mix((prefix[end] - prefix[start]) * inverse[start])
 
 
-def find_words(data: np.ndarray, off: np.ndarray, i: int, j: int):
-    """Of documents i to j: start and end bytes, document and hash of each word, in order."""
+def space_table() -> np.ndarray:
+    t = np.ones(256, bool)
+    t[9:14] = t[32] = False
+    return t
+
+
+def find_words(data: np.ndarray, off: np.ndarray, i: int, j: int, spaced: bool = False):
+    """Of documents i to j: start and end bytes, document and hash of each word, in order.
+
+    spaced: words are runs of anything but ASCII white space.
+    """
     x = data[off[i] : off[j]]
     first = off[i:j] - off[i]
     n = len(x)
     if n == 0:
         e = np.zeros(0, np.int64)
         return e, e, e, np.zeros(0, U)
-    inside = memo("word_table", word_table)[x]
+    inside = (memo("space_table", space_table) if spaced else memo("word_table", word_table))[x]
     border = np.zeros(n + 1, bool)
     border[first[first < n]] = True
     border[n] = True
@@ -139,3 +148,21 @@ def in_sorted(keys: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(keys) == 0:
         return np.zeros(len(probe), bool), at
     return keys[np.minimum(at, len(keys) - 1)] == probe, at
+
+
+def take_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The given byte ranges as a string array."""
+    size = end - start
+    off = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=off[1:])
+    at = np.repeat(start - off[:-1], size) + np.arange(off[-1])
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(off), pa.py_buffer(data[at])]).cast(pa.string())
+
+
+def distinct_words(data: np.ndarray, off: np.ndarray, i: int, j: int):
+    """Of documents i to j, white space between words: (hash of each distinct word in order of hash, a start and an end of it, its count), and
+    each word's document and the index of its distinct word."""
+    parts = [find_words(data, off, a + i, b + i, spaced=True) for a, b in pieces(off[i : j + 1])]
+    start, end, doc, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, first, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    return keys, start[first], end[first], n, doc, which
