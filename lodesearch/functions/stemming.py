@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,7 +39,6 @@ def _ends_short(w: str) -> bool:
     return bool(re.search(f"[^{VOWELS}][{VOWELS}][^{VOWELS}wxY]$", w) or re.fullmatch(f"[{VOWELS}][^{VOWELS}]", w))
 
 
-@lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
     """The Porter2 stem of a lower-case English word."""
     if len(word) <= 2:
@@ -110,7 +108,8 @@ def stem_all(tokens: Column) -> Column:
 
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda words: None if words is None else [stem(w) for w in words])
+        known = {w: stem(w) for words in s if words is not None for w in set(words) if w is not None}
+        return s.map(lambda words: None if words is None else [known.get(w) for w in words])
 
     return run(tokens)
 
@@ -134,6 +133,9 @@ PROFILES = {
 def guess_language(c: Column, default: str = "en") -> Column:
     """The language with the most of its frequent words in the text; ties by name, default if there are none."""
     words = F.split(F.lower(c), r"\P{L}+")
-    counts = [F.struct(F.size(F.filter(words, lambda t, own=own: t.isin(*own.split()))).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, own) in enumerate(sorted(PROFILES.items()))]
+    def one_of(own: list[str]):
+        return lambda t: t.isin(*own)
+
+    counts = [F.struct(F.size(F.filter(words, one_of(own.split()))).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, own) in enumerate(sorted(PROFILES.items()))]
     best = F.greatest(*counts)
     return F.when(best["n"] > 0, best["lang"]).otherwise(F.lit(default))

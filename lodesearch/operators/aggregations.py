@@ -125,12 +125,19 @@ def range_buckets(df: DataFrame, field: str, ranges: Iterable[Mapping[str, Any]]
 def facets(df: DataFrame, fields: Iterable[str], explode: bool = False) -> DataFrame:
     """(field, value, n) of all values of the fields, in one pass and one shuffle."""
     items = []
+
+    def keys_of(kind: T.DataType):
+        return lambda e: key_string(e, kind)
+
+    def named(f: str):
+        return lambda v: F.struct(F.lit(f).alias("field"), v.alias("value"))
+
     for f in fields:
         if (found := _find(df, f)) is None:
             continue
         c, kind = found
-        values = F.transform(c, lambda e, kind=kind: key_string(e, kind.elementType)) if explode and isinstance(kind, T.ArrayType) else F.array(key_string(c, kind))
-        items.append(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v, f=f: F.struct(F.lit(f).alias("field"), v.alias("value"))))
+        values = F.transform(c, keys_of(kind.elementType)) if explode and isinstance(kind, T.ArrayType) else F.array(key_string(c, kind))
+        items.append(F.transform(F.coalesce(values, F.array().cast("array<string>")), named(f)))
     if not items:
         return df.select(F.lit("").alias("field"), F.lit("").alias("value"), F.lit(0).cast("long").alias("n")).limit(0)
     rows = df.select(F.explode(F.concat(*items)).alias("x")).select("x.field", "x.value").where("value is not null")

@@ -34,7 +34,7 @@ def indexed_fields(schema: T.StructType, mapping: dict[str, str] | None = None,
             add(name, c)
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
             for f in kind.elementType.fields:
-                walk(F.transform(c, lambda e, f=f: e[f.name]), T.ArrayType(f.dataType), f"{name}.{f.name}", False)
+                walk(c[f.name], T.ArrayType(f.dataType), f"{name}.{f.name}", False)
 
     for f in schema.fields:
         if f.name != id_col and not f.name.startswith("_"):

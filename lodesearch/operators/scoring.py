@@ -64,8 +64,12 @@ def overlap_score(doc_tokens: Column, tokens: Iterable[str]) -> Column:
     tokens = list(tokens)
     n = F.size(doc_tokens)
     total = F.lit(0.0)
+
+    def overlaps(t: str):
+        return lambda d: F.contains(d, F.lit(t)) | F.contains(F.lit(t), d)
+
     for t in tokens:
-        total = total + F.size(F.filter(doc_tokens, lambda d, t=t: F.contains(d, F.lit(t)) | F.contains(F.lit(t), d)))
+        total = total + F.size(F.filter(doc_tokens, overlaps(t)))
     return F.when(n > 0, total / n / max(1, len(tokens))).otherwise(F.lit(0.0))
 
 

@@ -52,24 +52,34 @@ def within(a: Column, b: Column, k: int) -> Column:
     return F.levenshtein(a, b, k) >= 0
 
 
+def _within_of(word: str, k: int) -> Callable[[Column], Column]:
+    """A lambda of one parameter; one with a default would be given an element's index."""
+    return lambda t: within(t, F.lit(word), k)
+
+
 def wildcard_regex(value: str, escape: bool = True) -> str:
     """An anchored Java regular expression for * and ?."""
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else (re.sub(r"([^\w])", r"\\\1", c, flags=re.ASCII) if escape else c) for c in value) + "$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: inside another lambda the expression itself would be evaluated for each element."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def proximity(tokens: Column, phrase: list[str], slop: int = 0, fuzziness: int = 0) -> Column:
     """Whether the phrase's tokens follow each other in the array, each at the first place within reach, with gaps of at most slop."""
-    m = len(phrase)
-    if not m:
+    if not phrase:
         return F.lit(True)
-    if m == 1 and not fuzziness and not slop:
-        return F.array_contains(tokens, phrase[0])
-    n = F.size(tokens)
-    starts = F.when(n >= m, F.sequence(F.lit(0), n - m)).otherwise(F.array().cast("array<int>"))
     if not slop and not fuzziness:
-        whole = F.array(*map(F.lit, phrase))
-        found = F.exists(starts, lambda i: F.slice(tokens, i + 1, m) == whole)
-        return _every([F.array_contains(tokens, p) for p in dict.fromkeys(phrase)]) & found
+        mark = "\u0001"
+        return F.contains(F.concat(F.lit(mark), F.array_join(tokens, mark), F.lit(mark)), F.lit(mark + mark.join(phrase) + mark))
+    return let(tokens, lambda bound: _near(bound, phrase, slop, fuzziness))
+
+
+def _near(tokens: Column, phrase: list[str], slop: int, fuzziness: int) -> Column:
+    m, n = len(phrase), F.size(tokens)
+    starts = F.when(n >= m, F.sequence(F.lit(0), n - m)).otherwise(F.array().cast("array<int>"))
 
     def follow(i: Column) -> Column:
         state = F.struct((i - 1).cast("int").alias("last"), F.lit(0).cast("int").alias("gap"), F.lit(True).alias("ok"))
@@ -119,7 +129,7 @@ class Scope:
                     if not isinstance(element, T.StructType) or p not in element.names:
                         return None
                     element = element[p].dataType
-                return F.transform(c, lambda e, path=path: reduce(lambda x, p: x[p], path, e)), T.ArrayType(element)
+                return reduce(lambda x, p: x[p], path, c), T.ArrayType(element)
             else:
                 return None
         return c, kind
@@ -200,16 +210,20 @@ class Compiler:
                 hit = F.contains(F.lower(c), F.lit(v))
                 if not k:
                     return hit
-                tokens, m = F.split(F.lower(c), r"\W+"), len(words)
-                starts = F.when(F.size(tokens) >= m, F.sequence(F.lit(1), F.size(tokens) - m + 1)).otherwise(F.array().cast("array<int>"))
-                return hit | F.exists(starts, lambda i: within(F.array_join(F.slice(tokens, i, m), " "), F.lit(v), k))
+                m = len(words)
+
+                def near(tokens):
+                    starts = F.when(F.size(tokens) >= m, F.sequence(F.lit(1), F.size(tokens) - m + 1)).otherwise(F.array().cast("array<int>"))
+                    return F.exists(starts, lambda i: within(F.array_join(F.slice(tokens, i, m), " "), F.lit(v), k))
+
+                return hit | let(F.split(F.lower(c), r"\W+"), near)
         elif k and node.field == "*":
             def test(c, _):
                 return within(F.lower(c), F.lit(v), k)
         elif k:
             def test(c, _):
                 tokens = F.split(F.lower(c), r"(?U)\s+")
-                return _every([F.exists(tokens, lambda t, q=q: within(t, F.lit(q), k)) for q in re.split(r"\s+", v)])
+                return _every([F.exists(tokens, _within_of(q, k)) for q in re.split(r"\s+", v)])
         else:
             def test(c, _):
                 return F.contains(F.lower(c), F.lit(v))
@@ -419,7 +433,7 @@ def _all_strings(scope: Scope) -> list[tuple[Column, str]]:
                 out.append((F.array_join(c, " "), name))
             elif isinstance(kind.elementType, T.StructType):
                 for f in kind.elementType.fields:
-                    walk(F.transform(c, lambda e, f=f: e[f.name]), T.ArrayType(f.dataType), f.name)
+                    walk(c[f.name], T.ArrayType(f.dataType), f.name)
 
     for f in scope.schema.fields:
         if f.name != scope.id_col and not f.name.startswith("__"):

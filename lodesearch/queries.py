@@ -660,7 +660,7 @@ def auto_facets(spark, sf_dir):
     return agg.facets(orders, agg.facet_fields(orders))
 
 
-@query("SELECT CAST(n AS VARCHAR) AS key, count(*) AS doc_count FROM (SELECT s_nationkey AS n FROM supplier UNION ALL SELECT c_nationkey FROM customer) GROUP BY n")
+@query("SELECT CAST(n AS VARCHAR) AS key, count(*) AS doc_count FROM (SELECT s_nationkey AS n FROM supplier UNION ALL SELECT c_nationkey FROM customer) WHERE n <> 0 GROUP BY n")
 def multi_index_merge(spark, sf_dir):
     def counts(name, column):
         return agg.terms(table(spark, sf_dir, name), column, 1_000_000)
