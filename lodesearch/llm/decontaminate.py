@@ -1,7 +1,8 @@
 """Benchmark items found in training documents, also when edited.
 
-Seeds are runs of `gram` words of an item. Their document counts over all documents say how rare they are; of each item
-the rarer half is used (and those as rare as its median), so an item that leaked into many documents still has seeds.
+Seeds are runs of `gram` words of an item. Their document counts over all documents say how rare they are: a seed is used if
+at most RARE of the documents have it, or at most twice as many as have the item's median seed, so an item that leaked into
+many documents still has seeds, those that its edited copies kept among them.
 Documents are joined to items on seeds, and the passage around the seeds is aligned with the item by
 Smith-Waterman over words (match 2, mismatch -1, gap -1). The score is divided by that of a perfect match.
 
@@ -20,6 +21,7 @@ from .textscan import U, find_words, gram_hashes, in_sorted, pieces, text_bytes
 
 GRAM = 3
 THRESHOLD = 0.5
+RARE = 0.001
 ITEM_WORDS = 1 << 20
 
 
@@ -69,13 +71,13 @@ class Seeds:
         self.distinct = np.unique(self.key)
         self.sizes = sorted({min(gram, len(h)) for _, h in items})
 
-    def rarer(self, found: np.ndarray) -> Seeds:
-        """With the rarer seeds of each item only. found: documents for each distinct seed."""
+    def rarer(self, found: np.ndarray, n_docs: int) -> Seeds:
+        """With the rare seeds of each item only. found: documents for each distinct seed, of n_docs."""
         n = found[np.searchsorted(self.distinct, self.key)]
         keep = np.zeros(len(n), bool)
         for k in range(len(self.items)):
             own = np.flatnonzero(self.item == k)
-            keep[own] = n[own] <= np.median(n[own])
+            keep[own] = n[own] <= max(2 * np.median(n[own]), RARE * n_docs)
         out = object.__new__(Seeds)
         out.items, out.gram, out.sizes = self.items, self.gram, self.sizes
         out.key, out.item, out.at = self.key[keep], self.item[keep], self.at[keep]
@@ -168,19 +170,20 @@ def _pass(texts: DataFrame, seeds: Seeds, threshold: float) -> DataFrame:
 
     def counted(batches):
         seeds = all_seeds()
-        n = np.zeros(len(seeds.distinct), np.int64)
+        n, rows = np.zeros(len(seeds.distinct), np.int64), 0
         for b in batches:
+            rows += b.num_rows
             data, off = text_bytes(b.column(0))
             for i, j in pieces(off):
                 _, _, doc, h = find_words(data, off, i, j)
                 n += seeds.documents(h, doc)
         k = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], ["k", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, len(n))), pa.array(np.append(n[k], rows))], ["k", "n"])
 
-    found = np.zeros(len(seeds.distinct), np.int64)
+    found = np.zeros(len(seeds.distinct) + 1, np.int64)  # the last for all documents
     for k, n in texts.select("t").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
         found[k] = n
-    rare = spread(spark, seeds.rarer(found))
+    rare = spread(spark, seeds.rarer(found[:-1], int(found[-1])))
 
     def scored(batches):
         seeds = rare()
