@@ -75,8 +75,8 @@ class Seeds:
         """With the rare seeds of each item only. found: documents for each distinct seed, of n_docs."""
         n = found[np.searchsorted(self.distinct, self.key)]
         keep = np.zeros(len(n), bool)
-        for k in range(len(self.items)):
-            own = np.flatnonzero(self.item == k)
+        by_item = np.argsort(self.item, kind="stable")
+        for own in np.split(by_item, np.flatnonzero(np.diff(self.item[by_item])) + 1):
             keep[own] = n[own] <= max(2 * np.median(n[own]), RARE * n_docs)
         out = object.__new__(Seeds)
         out.items, out.gram, out.sizes = self.items, self.gram, self.sizes

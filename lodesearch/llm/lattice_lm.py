@@ -24,8 +24,10 @@ from .textscan import BASE, U, distinct_words, in_sorted, memo, pieces, prefix_h
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-PART = 8 << 20
+PART = 4 << 20
 LONG = 200
+#: Lattice nodes held at once.
+NODES = 1 << 20
 FILTER_BITS = 20
 
 
@@ -97,10 +99,15 @@ class Lattice:
         for k in long:
             out[k] = self.one(marked[int(k)].as_py())
         order = np.argsort(-size, kind="stable")[len(long) :]
-        if len(order) == 0:
-            return out
-        size = size[order]
-        data, _ = text_bytes(marked.take(pa.array(order)), lower=False)
+        while len(order):
+            n = max(1, NODES // (int(size[order[0]]) + 1))
+            out[order[:n]] = self.forward(marked.take(pa.array(order[:n])), size[order[:n]])
+            order = order[n:]
+        return out
+
+    def forward(self, marked: pa.Array, size: np.ndarray) -> np.ndarray:
+        """The forward recursion for many strings, longest first; size: their characters."""
+        data, _ = text_bytes(marked, lower=False)
         cp = code_points(data.tobytes().decode("utf-8")).astype(np.int64)
         prefix = prefix_hash(cp.astype(U) + U(1), BASE)
         start = np.cumsum(size) - size
@@ -120,8 +127,7 @@ class Lattice:
                     if len(other):
                         row[other] = alpha[j - 1, other] + self.fallback(cp[end[other] - 1])
             alpha[j, :m] = row
-        out[order] = alpha[size, np.arange(len(size))]
-        return out
+        return alpha[size, np.arange(len(size))]
 
 
 def word_parts(batches):
