@@ -32,9 +32,10 @@ def byte_grams(data: np.ndarray, off: np.ndarray, i: int, j: int):
     x = data[off[i] : off[j]]
     x = np.where(memo("word_table", word_table)[x], x, np.uint8(32))
     first, last = off[i:j] - off[i], np.maximum(off[i + 1 : j + 1] - off[i] - GRAM + 1, off[i:j] - off[i])
-    if len(x) < GRAM:
-        return np.zeros(0, np.uint32), np.zeros(0, bool), first, first
-    n = len(x) - GRAM + 1
+    n = max(0, len(x) - GRAM + 1)
+    first, last = np.minimum(first, n), np.minimum(last, n)
+    if not n:
+        return np.zeros(0, np.uint32), np.zeros(0, bool), first, last
     code = np.zeros(n, np.uint32)
     spaces = np.zeros(n, np.uint8)
     for k in range(GRAM):
@@ -79,6 +80,8 @@ class Filters:
             return s[last] - s[first]
 
         n = total(use)
+        if not self.languages:
+            return n, np.zeros((j - i, 0))
         hits = np.stack([total(mask >> mask.dtype.type(k) & mask.dtype.type(1)) for k in range(len(self.languages))], 1)
         return n, (hits / np.maximum(n, 1)[:, None] - self.false) / (1 - self.false)
 

@@ -192,7 +192,7 @@ def score(docs: DataFrame, lattice: Lattice, id_col: str = "doc_id", text_col: s
             value = own.words(words)
             chars = pc.utf8_length(words).to_numpy(zero_copy_only=False) + 1
             n, m, p = (np.bincount(doc, w, minlength=j - i) for w in (None, chars[which], value[which]))
-            m = m.astype(np.int64)
+            m, p = m.astype(np.int64), p.astype(np.float64)  # of no words bincount makes integers
             bits = pa.array(-p / math.log(2) / np.maximum(m, 1), mask=m == 0)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(m), pa.array(p), bits], ["doc_id", "n_words", "n_chars", "log_prob", "bits_per_char"])
 

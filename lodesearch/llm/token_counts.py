@@ -4,7 +4,7 @@ Texts are split into pre-tokens (as the byte-level BPE's pattern does, but by ar
 pre-token frequencies are joined to a table of the number of pieces of each distinct pre-token, where every distinct pre-token is
 encoded once, and summed.
 
-The join has two ways. The most frequent pre-tokens of a bounded sample of documents, at most `hot`, make a table
+The join has two ways. The most frequent pre-tokens of a share of the documents, at most `hot`, make a table
 that is broadcast; frequencies of all others are shuffled by pre-token, and each task encodes its own distinct ones. Which pre-tokens are
 broadcast changes no result.
 """
@@ -24,7 +24,8 @@ from .textscan import BASE, U, in_sorted, memo, pieces, prefix_hash, span_hash,
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 HOT = 200_000
-SAMPLE_DOCS = 5000
+SAMPLE = 0.02
+SAMPLE_LEAST = 1000
 PART = 4 << 20
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -87,7 +88,7 @@ def split(data: np.ndarray, off: np.ndarray, i: int, j: int):
     lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
     first = lead[off[i:j] - off[i]]
     start = token_starts(cp, np.unique(first[first < len(cp)]))
-    end = np.append(start[1:], len(cp))
+    end = np.append(start, len(cp))[1:]
     text = np.searchsorted(first, start, "right") - 1 + i
     return cp, start, end, text, span_hash(prefix_hash(cp.astype(U) + U(1), BASE), start, end, BASE)
 
@@ -137,9 +138,9 @@ class Hot:
         self.keys, self.n = keys, n
 
 
-def hot_counts(texts: DataFrame, n: int, ranks: bytes, hot: int, sample_docs: int) -> Hot:
-    """Pieces of the most frequent pre-tokens of about sample_docs of n documents, chosen by a hash of their ids."""
-    share = int(min(1.0, sample_docs / max(n, 1)) * 1_000_000)
+def hot_counts(texts: DataFrame, n: int, ranks: bytes, hot: int, sample: float) -> Hot:
+    """Pieces of the most frequent pre-tokens of that share of n documents, or of about SAMPLE_LEAST if that is more, chosen by a hash of their ids."""
+    share = int(min(1.0, max(sample, SAMPLE_LEAST / max(n, 1))) * 1_000_000)
     chosen = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
 
     def run(batches):
@@ -158,7 +159,7 @@ def hot_counts(texts: DataFrame, n: int, ranks: bytes, hot: int, sample_docs: in
     return Hot(keys[o], n[o])
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, hot: int = HOT, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, hot: int = HOT, sample: float = SAMPLE) -> DataFrame:
     """(doc_id, n_tokens): one row for each id, with the tokens of all texts of its rows.
 
     A null id is an id like others. Empty and null texts have no tokens, and their ids are in the result. ranks: the path of a rank
@@ -169,7 +170,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         table = f.read()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     n_docs = texts.count()
-    get = spread(spark, hot_counts(texts, n_docs, table, hot, sample_docs))
+    get = spread(spark, hot_counts(texts, n_docs, table, hot, sample))
 
     def joined(batches):
         own = get()
@@ -180,34 +181,36 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 known, at = in_sorted(own.keys, keys)
                 n = np.where(known, own.n[np.minimum(at, max(len(own.n) - 1, 0))] if len(own.n) else 0, 0)
                 sums = np.bincount(text - i, n[which], minlength=j - i).astype(np.int64)
-                yield rows(b, ids, np.arange(i, j), (np.arange(i, j) * 0x9E3779B1 + i).astype(np.int64), None, sums)
+                yield rows(b, ids, np.arange(i, j), None, sums)
                 rare = np.flatnonzero(~known)
                 if len(rare):
                     place = np.full(len(keys), -1)
                     place[rare] = np.arange(len(rare))
                     some = np.flatnonzero(~known[which])
-                    pair, count = np.unique(text[some] * len(rare) + place[which[some]], return_counts=True)
-                    t, k = np.divmod(pair, len(rare))
+                    # rows of a pre-token stand together, where they compress well
+                    pair, count = np.unique(place[which[some]] * (j - i) + text[some] - i, return_counts=True)
+                    k, t = np.divmod(pair, j - i)
                     names = pa.array(named(rare), pa.string())
-                    yield rows(b, ids, t, keys[rare[k]].view(np.int64), names.take(pa.array(k)), count)
+                    yield rows(b, ids, t + i, names.take(pa.array(k)), count)
 
-    def rows(b, ids, t, key, names, n):
+    def rows(b, ids, t, names, n):
         doc = pa.array(ids[t], pa.int64()) if ids is not None else b.column(0).take(pa.array(t))
-        return pa.RecordBatch.from_arrays([pa.array(key), names if names is not None else pa.nulls(len(t), pa.string()), doc, pa.array(n, pa.int64())], ["k", "token", "id", "n"])
+        return pa.RecordBatch.from_arrays([names if names is not None else pa.nulls(len(t), pa.string()), doc, pa.array(n, pa.int64())], ["token", "id", "n"])
 
     def summed(batches):
         e = memo(("encoder", hash(table)), lambda: encoder(table))
         known: dict[str, int] = {}
         for b in batches:
-            names = b.column(1).dictionary_encode()
+            names = b.column(0).dictionary_encode()
             words = names.dictionary.to_pylist()
             for w in words:
                 if w not in known:
                     known[w] = len(e.encode_ordinary(w))
             per = np.array([known[w] for w in words] + [1], np.int64)
             which = names.indices.fill_null(len(words)).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(b.column(3).to_numpy() * per[which])], ["doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(b.column(2).to_numpy() * per[which])], ["doc_id", "n"])
 
-    found = texts.mapInArrow(joined, "k long, token string, id long, n long")
-    by_token = found.repartition(task_count(spark, n_docs * 60, 1_000_000), "k")
+    found = texts.mapInArrow(joined, "token string, id long, n long")
+    # what is already counted goes anywhere
+    by_token = found.repartition(task_count(spark, n_docs * 60, 1_000_000), F.coalesce("token", F.xxhash64("id", "n").cast("string")))
     return by_token.mapInArrow(summed, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"))
