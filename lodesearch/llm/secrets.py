@@ -23,7 +23,6 @@ from .textscan import memo
 
 ALPHA = 0.05
 SHORTEST = 16
-LONGEST = 512
 THRESHOLD = 8.0
 EXAMPLES = 400
 #: Labelled rows used of each kind, the least by hash; more are of no use to automata of this size.
@@ -148,7 +147,7 @@ def infer(strings: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[st
 
 
 class Scorer:
-    """All automata as dense tables over bytes."""
+    """All automata as dense tables over bytes, one below the other; `starts` has the first state of each."""
 
     def __init__(self, rows: list[tuple[str, bool, str]], alpha: float = ALPHA):
         kinds: dict[tuple[bool, str], list[str]] = {}
@@ -158,16 +157,17 @@ class Scorer:
         if not any(secret for secret, _ in kinds) or all(secret for secret, _ in kinds):
             raise ValueError("examples of credentials and of ordinary strings are needed")
         self.names = sorted(kinds)
-        self.tables = []
-        for key in self.names:
-            states = infer(kinds[key], alpha)
-            to = np.zeros((len(states), 128), np.int32)
-            log = np.full((len(states), 128), math.log(UNSEEN))
+        automata = [infer(kinds[key], alpha) for key in self.names]
+        self.starts = np.concatenate(([0], np.cumsum([len(states) for states in automata])))[:-1]
+        n = sum(len(states) for states in automata)
+        self.to = np.repeat(self.starts, [len(states) for states in automata])[:, None].repeat(128, 1)
+        self.log = np.full((n, 128), math.log(UNSEEN))
+        self.end = np.array([end for states in automata for end, _ in states])
+        for start, states in zip(self.starts, automata, strict=True):
             for k, (_, moves) in enumerate(states):
                 for c, (state, p) in moves.items():
                     if ord(c) < 128:
-                        to[k, ord(c)], log[k, ord(c)] = state, p
-            self.tables.append((to, log, np.array([end for end, _ in states])))
+                        self.to[start + k, ord(c)], self.log[start + k, ord(c)] = start + state, p
 
     def scores(self, strings: list[str]) -> tuple[np.ndarray, list[str]]:
         """Score of each string and the credential kind that fits best. Strings are of ASCII."""
@@ -176,16 +176,15 @@ class Scorer:
         raw = np.frombuffer("".join(strings).encode("ascii"), np.uint8)
         first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         order = np.argsort(-lengths, kind="stable")
-        at, left, first = np.zeros((len(self.tables), n), np.int32), lengths[order], first[order]
-        total = np.zeros((len(self.tables), n))
-        for k in range(int(left[0]) if n else 0):
-            m = int(np.searchsorted(-left, -k))  # those longer than k
+        left, first = lengths[order], first[order]
+        at = np.repeat(self.starts[:, None], n, 1)
+        total = np.zeros((len(self.names), n))
+        ends = np.searchsorted(-left, -np.arange(int(left[0]) if n else 0))
+        for k, m in enumerate(ends.tolist()):  # those longer than k
             c = raw[first[:m] + k]
-            for t, (to, log, _) in enumerate(self.tables):
-                total[t, :m] += log[at[t, :m], c]
-                at[t, :m] = to[at[t, :m], c]
-        for t, (_, _, end) in enumerate(self.tables):
-            total[t] += end[at[t]]
+            total[:, :m] += self.log[at[:, :m], c]
+            at[:, :m] = self.to[at[:, :m], c]
+        total += self.end[at]
         secret = np.array([s for s, _ in self.names])
         best = np.where(secret[:, None], total, -np.inf).argmax(0)
         score = total[best, np.arange(n)] - total[~secret].max(0)
@@ -222,8 +221,8 @@ def clean(s: str) -> str:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, secret, kind, score, n): each different credential of each document, with its number of places.
 
-    Rows with a null id or text have none. Rows of one doc_id are taken together. Of a run over 512
-    characters the first and last 256 are scored and the whole is reported. labelled (kind, secret, credential) replaces the
+    Rows with a null id or text have none. Rows of one doc_id are taken together. Runs of any
+    length are scored whole. labelled (kind, secret, credential) replaces the
     built-in examples; MOST_EXAMPLES of each kind are used. Other columns aren't read.
     """
     get = scorer(docs.sparkSession, labelled)
@@ -235,7 +234,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = b.column(1).to_pylist()
             pairs = [(i, x) for i, own in zip(ids, found, strict=True) for c in own if len(x := clean(c)) >= shortest]
             distinct = sorted({x for _, x in pairs})
-            score, kind = s.scores([x if len(x) <= LONGEST else x[: LONGEST // 2] + x[-LONGEST // 2 :] for x in distinct])
+            score, kind = s.scores(distinct)
             good = {x: (k, float(v)) for x, k, v in zip(distinct, kind, score, strict=True) if v > threshold}
             rows = [(i, x, *good[x]) for i, x in pairs if x in good]
             if rows:
@@ -267,7 +266,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
             texts = b.column(at).to_pylist()
             runs = {clean(m) for t in texts if t for m in pattern.findall(t)}
             distinct = sorted(x for x in runs if len(x) >= shortest)
-            score, _ = s.scores([x if len(x) <= LONGEST else x[: LONGEST // 2] + x[-LONGEST // 2 :] for x in distinct])
+            score, _ = s.scores(distinct)
             bad = {x for x, v in zip(distinct, score, strict=True) if v > threshold}
 
             def replaced(m):

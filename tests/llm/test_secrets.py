@@ -92,3 +92,16 @@ def test_odd_rows_and_empty(documents, prose):
     out = secrets.redact_secrets(documents(rows)).collect()
     assert len(out) == len(rows) and next(x.text for x in out if x.doc_id == 10) == secrets.REDACTED and next(x for x in out if x.doc_id == 2).text is None
     assert secrets.find_secrets(documents([])).isEmpty() and secrets.redact_secrets(documents([])).isEmpty()
+
+
+def test_credential_in_the_middle_of_a_long_run(documents):
+    r = random.Random(11)
+
+    def path(n):
+        return "".join("/" + "".join(r.choices(secrets.SYLLABLES, k=4)) for _ in range(n))[:n]
+
+    runs = [path(270) + "/" + "".join(r.choices(secrets.ALNUM + "+", k=400)) + path(270) for _ in range(20)]
+    docs = documents([*enumerate(runs), (100, path(940))])
+    assert {x.doc_id for x in secrets.find_secrets(docs).collect()} == set(range(20))
+    texts = {x.doc_id: x.text for x in secrets.redact_secrets(docs).collect()}
+    assert all(runs[k][300:600] not in texts[k] for k in range(20)) and len(texts[100]) == 940
