@@ -5,12 +5,19 @@ For each kind of credential, and for each kind of ordinary string, an automaton
 their frequencies, and those of all their successors, compatible. A candidate is a run of at least `shortest`
 characters of credentials' alphabet. Every candidate in every text is scored: the greatest log-likelihood under a
 credential's automaton less the greatest under an ordinary one. Runs with a score over `threshold` are credentials.
+
+In a run that isn't one as a whole (NAME=value, path/value) the credentials are looked for among its spans: the automata are
+walked from the start of each token (letters and digits between other characters), and each end of a token gives a span. Of
+the spans over `threshold` that overlap, the one with the greatest score is taken. A walk ends once its characters
+are `HOPELESS` nats likelier under an ordinary automaton: what comes after them has walks of its own, from its own tokens.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
+import re
 import string
 
 import numpy as np
@@ -28,6 +35,10 @@ EXAMPLES = 400
 #: Labelled rows used of each kind, the least by hash; more are of no use to automata of this size.
 MOST_EXAMPLES = 2000
 UNSEEN = 1e-4
+#: Many times what one unseen character costs, so a span that recovers from it has a part that scores more alone.
+HOPELESS = 60.0
+#: Walks at a time, to bound memory.
+WALKS = 1 << 14
 CANDIDATE = r"[A-Za-z0-9_\-+/=.]"
 REDACTED = "[REDACTED]"
 
@@ -194,6 +205,63 @@ class Scorer:
             kind[k] = self.names[b][1]
         return out, kind
 
+    def spans(self, strings: list[str], threshold: float, shortest: int) -> dict[int, list[tuple[int, int, str, float]]]:
+        """{string: (start, end, kind, score)} of the spans over the threshold, of those that overlap the best."""
+        raw = np.frombuffer("".join(strings).encode("ascii"), np.uint8)
+        letter = np.zeros(128, bool)
+        letter[[ord(c) for c in ALNUM]] = True
+        inside = letter[raw]
+        lengths = np.array([len(s) for s in strings], np.int64)
+        stop = np.cumsum(lengths)
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[0] = edge[stop] = True
+        follows = np.concatenate((inside[1:], [False]))
+        closes = inside & (~follows | edge[1:])  # the last character of a token
+        opens = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | edge[:-1]))
+        owner = np.searchsorted(stop, opens, "right")
+        some = stop[owner] - opens >= shortest
+        opens, owner = opens[some], owner[some]
+        secret = np.array([s for s, _ in self.names])
+        kinds = np.flatnonzero(secret)
+        found: dict[int, list[tuple[float, int, int, str]]] = {}
+        for a in range(0, len(opens), WALKS):
+            first, who = opens[a : a + WALKS], owner[a : a + WALKS]
+            at, total = np.repeat(self.starts[:, None], len(first), 1), np.zeros((len(self.names), len(first)))
+            k = 0
+            while len(first):
+                c = raw[first + k]
+                total += self.log[at, c]
+                at = self.to[at, c]
+                k += 1
+                if k >= shortest and (m := np.flatnonzero(closes[first + k - 1])).size:
+                    whole = total[:, m] + self.end[at[:, m]]
+                    best = kinds[whole[secret].argmax(0)]
+                    score = whole[best, np.arange(len(m))] - whole[~secret].max(0)
+                    for q in np.flatnonzero(score > threshold):
+                        w = int(who[m[q]])
+                        start = int(first[m[q]] - stop[w] + lengths[w])
+                        found.setdefault(w, []).append((float(score[q]), start, start + k, self.names[best[q]][1]))
+                on = (first + k < stop[who]) & (total[secret].max(0) - total[~secret].max(0) > -HOPELESS)
+                if not on.all():
+                    first, who, at, total = first[on], who[on], at[:, on], total[:, on]
+        out = {}
+        for w, own in found.items():
+            taken: list[tuple[int, int, str, float]] = []
+            for score, start, end, kind in sorted(own, key=lambda x: (-x[0], x[1], x[2])):
+                k = bisect.bisect(taken, (start,))
+                if (k == len(taken) or taken[k][0] >= end) and (k == 0 or taken[k - 1][1] <= start):
+                    taken.insert(k, (start, end, kind, score))
+            out[w] = taken
+        return out
+
+    def credentials(self, runs: list[str], threshold: float, shortest: int) -> dict[str, list[tuple[int, int, str, float]]]:
+        """{run: (start, end, kind, score) of each credential in it, from left to right}: the whole run or else its best spans."""
+        runs = sorted(set(runs))
+        score, kind = self.scores(runs)
+        out = {x: [(0, len(x), k, float(v))] for x, k, v in zip(runs, kind, score, strict=True) if v > threshold}
+        rest = [x for x in runs if x not in out and not x.isalnum()]
+        return out | {rest[k]: own for k, own in self.spans(rest, threshold, shortest).items()}
+
 
 def labelled_rows(labelled: DataFrame) -> list[tuple[str, bool, str]]:
     from pyspark.sql import Window
@@ -222,7 +290,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, secret, kind, score, n): each different credential of each document, with its number of places.
 
     Rows with a null id or text have none. Rows of one doc_id are taken together. Runs of any
-    length are scored whole. labelled (kind, secret, credential) replaces the
+    length are scored whole; of one that isn't a credential as a whole, the best spans are. labelled (kind, secret, credential) replaces the
     built-in examples; MOST_EXAMPLES of each kind are used. Other columns aren't read.
     """
     get = scorer(docs.sparkSession, labelled)
@@ -233,10 +301,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ids = b.column(0).to_pylist()
             found = b.column(1).to_pylist()
             pairs = [(i, x) for i, own in zip(ids, found, strict=True) for c in own if len(x := clean(c)) >= shortest]
-            distinct = sorted({x for _, x in pairs})
-            score, kind = s.scores(distinct)
-            good = {x: (k, float(v)) for x, k, v in zip(distinct, kind, score, strict=True) if v > threshold}
-            rows = [(i, x, *good[x]) for i, x in pairs if x in good]
+            good = s.credentials([x for _, x in pairs], threshold, shortest)
+            rows = [(i, x[a:z], k, v) for i, x in pairs for a, z, k, v in good.get(x, ())]
             if rows:
                 i, x, k, v = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(x), pa.array(k), pa.array(v)], ["doc_id", "secret", "kind", "score"])
@@ -251,8 +317,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
 
     Texts without one, and null texts, stay as they are; other columns are untouched.
     """
-    import re
-
     get = scorer(docs.sparkSession, labelled)
     pattern = re.compile(f"{CANDIDATE}{{{shortest},}}", re.ASCII)
     names = docs.columns
@@ -265,13 +329,14 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
         for b in batches:
             texts = b.column(at).to_pylist()
             runs = {clean(m) for t in texts if t for m in pattern.findall(t)}
-            distinct = sorted(x for x in runs if len(x) >= shortest)
-            score, _ = s.scores(distinct)
-            bad = {x for x, v in zip(distinct, score, strict=True) if v > threshold}
+            bad = s.credentials([x for x in runs if len(x) >= shortest], threshold, shortest)
 
             def replaced(m):
-                c = clean(m.group())
-                return m.group().replace(c, REDACTED) if c in bad else m.group()
+                own, c = m.group(), clean(m.group())
+                before = own.find(c)
+                for a, z, *_ in reversed(bad.get(c, ())):
+                    own = own[: before + a] + REDACTED + own[before + z :]
+                return own
 
             new = [pattern.sub(replaced, t) if t else t for t in texts]
             columns = list(b.columns)

@@ -105,3 +105,35 @@ def test_credential_in_the_middle_of_a_long_run(documents):
     assert {x.doc_id for x in secrets.find_secrets(docs).collect()} == set(range(20))
     texts = {x.doc_id: x.text for x in secrets.redact_secrets(docs).collect()}
     assert all(runs[k][300:600] not in texts[k] for k in range(20)) and len(texts[100]) == 940
+
+
+def test_credentials_behind_names_and_in_paths(documents):
+    r = random.Random(13)
+    names = ["token", "client_secret", "session_token_secret", "authentication_token", "aws_secret_access_key", "production_database_secrets"]
+    made: dict = {}
+    for kind, secret, v in secrets.examples(seed=21, n=12):
+        if secret:
+            made.setdefault(kind, []).append(secrets.clean(v))
+    rows, want = [], {}
+    for kind, own in made.items():
+        for k, v in enumerate(own):
+            name = names[k % len(names)]
+            run = f"{name}={v}" if k % 2 else f"/srv/{name}/{v}/" + "".join(r.choices(secrets.SYLLABLES, k=5))
+            want[len(rows)] = (kind, v)
+            rows.append((len(rows), f"set {run} here"))
+    rows.append((1000, f"{made['hex_40'][0]}.key/session_token={made['github_token'][0]}"))
+    got: dict = {}
+    for x in secrets.find_secrets(documents(rows)).collect():
+        got.setdefault(x.doc_id, set()).add(x.secret)
+    hits = [any(v in x for x in got.get(i, ())) for i, (_, v) in want.items()]
+    assert sum(hits) >= 0.98 * len(hits)
+    assert all(any(made[kind][0] in x for x in got[1000]) for kind in ("hex_40", "github_token"))
+    texts = {x.doc_id: (x.text, x.n_chars) for x in secrets.redact_secrets(documents(rows)).collect()}
+    assert all(v not in texts[i][0] for (i, (_, v)), hit in zip(want.items(), hits, strict=True) if hit)
+    assert all(len(t) == n and t.startswith("set ") and t.endswith(" here") for i, (t, n) in texts.items() if i < 1000)
+
+
+def test_ordinary_runs_have_no_span(documents):
+    long = "/".join(f"{a}{b}" for a in secrets.SYLLABLES for b in secrets.SYLLABLES)
+    rows = [*enumerate(v for _, secret, v in held_out() if not secret), (10_000, long * 5), (10_001, "./" * 5000 + "z"), (10_002, "-" * 5000)]
+    assert secrets.find_secrets(documents(rows)).count() <= 0.01 * len(rows)
