@@ -9,8 +9,8 @@ until the given number of steps. Every step is one pass over all vectors of all
 for the h-th distance and plain sums for the moments, so a group may be of any size. The covariance is scaled so
 that the median distance is that of a chi-square, and documents beyond `cutoff` of it are rejected.
 
-Groups of fewer than `least` documents share their language's estimate, languages of fewer share
-one for all; if even that has fewer, nothing is rejected.
+Groups of fewer than `least` documents are judged by the estimate of all documents of their language, large sources
+included, and those of languages of fewer by that of all documents; if even these are fewer, nothing is rejected.
 """
 
 from __future__ import annotations
@@ -129,14 +129,20 @@ def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     x = materialise(statistics(docs, id_col, text_col, lang_col, source_col), "statistics")
     sep = "\u0001"
     own = x.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    pooled = own.where(F.col("n") < least).groupBy("lang").agg(F.sum("n").alias("in_lang"))
-    groups = own.join(pooled, "lang", "left").select(
+    in_lang = own.groupBy("lang").agg(F.sum("n").alias("in_lang"))
+    groups = own.join(in_lang, "lang").select(
         "lang", "source", F.when(F.col("n") >= least, F.concat(F.lit("s"), "lang", F.lit(sep), "source")).when(F.col("in_lang") >= least, F.concat(F.lit("l"), "lang")).otherwise(F.lit("a")).alias("g"), "n"
     )
     groups = materialise(groups, "groups")
     names = groups.count()
-    x = x.join(sized(groups, names, 200), ["lang", "source"])
-    names_of = sized(groups.groupBy("g").agg(F.sum("n").alias("n_group")), names, 100)
+    # each estimate in use and the languages and sources it is of
+    used = groups.select("g").distinct()
+    any_of = F.array_distinct(F.array("g", F.concat(F.lit("l"), "lang"), F.lit("a")))
+    members = groups.select("lang", "source", "n", F.explode(any_of).alias("g")).join(used, "g", "left_semi")
+    members = materialise(members, "members")
+    names_of = sized(members.groupBy("g").agg(F.sum("n").alias("n_group")), names, 100)
+    judged = x.join(sized(groups, names, 200), ["lang", "source"])
+    x = x.join(sized(members, 3 * names, 200), ["lang", "source"])
 
     columns = [f"x{k}" for k in range(D)]
     middle = x.groupBy("g").agg(*(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(c) for c in columns))
@@ -153,6 +159,7 @@ def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     at = x.join(sized(now, names, 400), "g").withColumn("d", distance())
     scale = at.groupBy("g").agg((F.percentile_approx("d", F.lit(0.5), 2000) / chi_square(0.5, D)).alias("scale"))
     scale = materialise(scale, "scale")
+    at = judged.join(sized(now, names, 400), "g").withColumn("d", distance())
     d = F.when(F.col("n_group") >= least, F.col("d") / F.greatest("scale", F.lit(1e-9)))
     rejected = F.coalesce(F.col("distance") > chi_square(cutoff, D), F.lit(False))
     return (

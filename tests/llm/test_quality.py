@@ -77,3 +77,12 @@ def test_odd_rows_and_empty(documents, prose):
 def test_all_alike(documents):
     got = quality.outliers(documents([(k, "the same words again") for k in range(150)])).collect()
     assert len(got) == 150 and not any(r.rejected for r in got)
+
+
+def test_few_rows_are_judged_by_all_of_their_language(documents, prose):
+    rows = [(k, sentences(prose, k, 8), "en", "large") for k in range(150)]
+    few = [(1000, "$$ %% ## @@ !! ** " * 40, "en", "rare"), (1001, sentences(prose, 151, 8), "en", None), (1002, "$$ %% ## @@ !! ** " * 40, None, "large"), (1003, sentences(prose, 152, 8), "xx", "s")]
+    got = {r.doc_id: r for r in quality.outliers(documents(rows + few, clashing=True)).collect()}
+    assert len(got) == 154 and all(r.distance is not None for r in got.values())
+    assert [got[k].n_group for k in (0, 1000, 1001, 1002, 1003)] == [150, 152, 152, 154, 154]
+    assert [k for k in (1000, 1001, 1002, 1003) if got[k].rejected] == [1000, 1002]
