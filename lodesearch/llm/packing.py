@@ -61,8 +61,11 @@ class Lengths:
         return None
 
 
-def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins as lists of lengths, each from 1 to capacity, in the order in which they were put in."""
+def pack(lengths: np.ndarray, capacity: int, single: bool = False) -> list[list[int]]:
+    """Bins as lists of lengths, each from 1 to capacity, in the order in which they were put in.
+
+    single: whether the document of a bin that holds one only is exchanged too.
+    """
     left = Lengths(np.bincount(lengths, minlength=capacity + 1))
     bins = []
     while left.bits:
@@ -76,7 +79,7 @@ def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
             return gap
 
         gap = fill(own, gap)
-        if gap and len(own) > 1:
+        if gap and (single or len(own) > 1):
             least = min(own)
             if two := left.pair(min(gap + least, capacity), least):
                 own.reverse()
@@ -104,7 +107,7 @@ def placed(ids: np.ndarray, lengths: np.ndarray, capacity: int):
     out = [(order[rows], np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), part, np.full(len(rows), capacity))]
     some = np.flatnonzero(rest)
     some = some[np.lexsort((ids[some], rest[some]))]
-    bins = pack(rest[some], capacity)
+    bins = pack(rest[some], capacity, single=True)
     if bins:
         flat = np.array([n for own in bins for n in own])
         number = np.repeat(np.arange(len(bins)), [len(own) for own in bins])

@@ -93,3 +93,16 @@ def test_query(spark):
     got = QUERIES["op4_best_fit_packing"](spark, "/root/testdata/sf0.01").collect()
     want = [(r.doc_id, len(r.text.split())) for r in docs.select("doc_id", "text").collect()]
     assert len(check(got, want, packing.CAPACITY)) <= sum(n for _, n in want) / packing.CAPACITY * 1.02 + 1
+
+
+def test_the_only_document_of_a_bin_is_exchanged():
+    ids, lengths = np.arange(6), np.array([84, 42, 23, 22, 53, 30])
+    row, number, *_ = packing.placed(ids, lengths, 100)
+    bins = {}
+    for r, b in zip(row, number, strict=True):
+        bins.setdefault(int(b), []).append(int(lengths[r]))
+    assert sorted(sorted(b) for b in bins.values()) == [[22, 23, 30], [42, 53], [84]]
+    for seed in range(20):
+        lengths = np.random.default_rng(seed).integers(1, 101, 60)
+        got = packing.pack(lengths, 100, single=True)
+        assert sorted(n for b in got for n in b) == sorted(lengths) and all(sum(b) <= 100 for b in got)
