@@ -2,23 +2,28 @@
 
 For each kind of credential, and for each kind of ordinary string, an automaton is inferred from its examples by state merging
 (the ALERGIA scheme): their prefix tree's states are merged in breadth-first order wherever Hoeffding's bound finds
-their frequencies, and those of all their successors, compatible. A candidate is a run of at least `shortest`
-characters of credentials' alphabet. Every candidate in every text is scored: the greatest log-likelihood under a
-credential's automaton less the greatest under an ordinary one. Runs with a score over `threshold` are credentials.
-
-In a run that isn't one as a whole (NAME=value, path/value) the credentials are looked for among its spans: the automata are
-walked from the start of each token (letters and digits between other characters), and each end of a token gives a span. Of
-the spans over `threshold` that overlap, the one with the greatest score is taken. A walk ends once its characters
-are `HOPELESS` nats likelier under an ordinary automaton: what comes after them has walks of its own, from its own tokens.
+their frequencies, and those of all their successors, compatible. Characters that the same bound can't tell apart in a kind's examples
+(the sixteen of a hexadecimal key) may count as one symbol, so that a tree of random keys becomes one path and their length is learned;
+a kind has such symbols if they make held-out examples likelier.
+
+A candidate is a run of characters of credentials' alphabet that is at least as long as the shortest labelled credential. Every candidate
+in every text is scored, whole: the automata are walked from each border of a token (a token is letters and digits between other
+characters), and each border after it ends a span. A run with a span that is `threshold` nats likelier as a credential than
+as an ordinary string is then segmented as a whole: its likeliest explanation by ordinary strings from border to border and
+by those spans, each at a price of `threshold` nats. The spans in that explanation are the credentials, so a part of an
+ordinary string (of a UUID, of encoded text) isn't taken for one, and several in one run are all found.
+
+A walk ends once its characters are `HOPELESS` nats likelier under an ordinary automaton, or by chance: what comes after
+them has walks of its own, from its own tokens.
 """
 
 from __future__ import annotations
 
-import bisect
+import base64
 import math
 import random
-import re
 import string
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +31,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import spread
-from .textscan import memo
+from .textscan import memo, pieces, text_bytes
 
 ALPHA = 0.05
-SHORTEST = 16
-THRESHOLD = 8.0
+THRESHOLD = 6.0
 EXAMPLES = 400
-#: Labelled rows used of each kind, the least by hash; more are of no use to automata of this size.
+#: Labelled rows used of each kind by default, the least by hash; more are of no use to automata of this size.
 MOST_EXAMPLES = 2000
-UNSEEN = 1e-4
+UNSEEN = 1e-5
+UNKNOWN = math.log(UNSEEN)
 #: Many times what one unseen character costs, so a span that recovers from it has a part that scores more alone.
-HOPELESS = 60.0
+HOPELESS = 40.0
+#: Examples that settle where a state belongs.
+MANY = 50
 #: Walks at a time, to bound memory.
 WALKS = 1 << 14
-CANDIDATE = r"[A-Za-z0-9_\-+/=.]"
+#: Bytes of texts at a time.
+PART = 4 << 20
 REDACTED = "[REDACTED]"
 
 ALNUM = string.ascii_letters + string.digits
+SEPARATORS = "_-+/=."
+CHARACTERS = ALNUM + SEPARATORS
 CREDENTIALS = {
     "aws_access_key": [("AKIA", None, 0), ("", string.ascii_uppercase + string.digits, 16)],
     "github_token": [("ghp_", None, 0), ("", ALNUM, 36)],
@@ -67,6 +77,9 @@ def examples(seed: int = 10, n: int = EXAMPLES) -> list[tuple[str, bool, str]]:
     def word():
         return "".join(r.choice(SYLLABLES) for _ in range(r.randint(2, 9)))
 
+    def hexadecimal(k, chars="0123456789abcdef"):
+        return "".join(r.choice(chars) for _ in range(k))
+
     for _ in range(n):
         w = word()
         rows += [("word", False, w), ("word", False, w.upper()), ("word", False, w.capitalize() + r.choice(["", "."]))]
@@ -74,9 +87,20 @@ def examples(seed: int = 10, n: int = EXAMPLES) -> list[tuple[str, bool, str]]:
         rows.append(("decimal", False, ".".join(str(r.randint(0, 99999)) for _ in range(r.randint(2, 4)))))
         rows.append(("date", False, f"{r.randint(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}" + r.choice(["", f"T{r.randint(0, 23):02}"])))
         rows.append(("name", False, r.choice("-_./").join(word() for _ in range(r.randint(2, 5)))))
+        rows.append(("camel", False, "".join(word()[: r.randint(2, 12)].capitalize() for _ in range(r.randint(2, 7)))))
         rows.append(("numbered", False, word() + r.choice(["", "-", "_", "."]) + str(r.randint(0, 9999)) + r.choice(["", "." + word()])))
         rows.append(("path", False, r.choice(["/", ""]) + "/".join(word() for _ in range(r.randint(2, 5))) + r.choice(["", ".html", ".py", "/" + str(r.randint(1, 99999))])))
         rows.append(("rule", False, r.choice("-=_.+") * r.randint(5, 60)))
+        rows.append(("separator", False, r.choice(SEPARATORS) * r.choice([1, 1, 1, 2])))
+        for kind, chars in (("uuid", "0123456789abcdef"), ("uuid_upper", "0123456789ABCDEF")):
+            rows.append((kind, False, "-".join([hexadecimal(8, chars), hexadecimal(4, chars), r.choice("1234457") + hexadecimal(3, chars), hexadecimal(4, chars), hexadecimal(12, chars)])))
+    # text and data in base64; data are longer than any key
+    for k in range(n // 5):
+        text = " ".join(r.choice([word(), word(), word().capitalize(), word() + r.choice(".,"), str(r.randint(0, 999))]) for _ in range(r.randint(2, 12)))
+        rows.append(("encoded_text", False, base64.b64encode(text[k % 3 :].encode()).decode()))
+    rows += [("encoded_data", False, base64.b64encode(r.randbytes(30_000)).decode()) for _ in range(2)]
+    for c in ALNUM:
+        rows += [("repeat", False, c * r.randint(3, 60)) for _ in range(n // 10)]
     return rows
 
 
@@ -84,11 +108,15 @@ def different(f1: int, n1: int, f2: int, n2: int, alpha: float) -> bool:
     """Whether Hoeffding's bound tells the two frequencies apart."""
     if not n1 or not n2:
         return False
-    return abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
+    return abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / alpha)) * (n1**-0.5 + n2**-0.5)
 
 
 def infer(strings: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[str, tuple[int, float]]]]:
-    """States as (log-probability of ending, {character: (state, log-probability)}), the first one the start."""
+    """States as (log-probability of ending, {character: (state, log-probability)}), the first one the start.
+
+    A state is merged with that of the compatible ones under which what follows it is likeliest; if over MANY examples pass it, with the first.
+    """
+    few = 0.5 * math.log(2 / alpha)
     nxt: list[dict[str, int]] = [{}]
     count: list[dict[str, int]] = [{}]
     total, final = [0], [0]
@@ -107,18 +135,30 @@ def infer(strings: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[st
             total[at] += 1
         final[at] += 1
 
-    def compatible(a: int, b: int) -> bool:
-        waiting = [(a, b)]
+    def compatible(a: int, b: int) -> float | None:
+        """The log-likelihood of what comes after b as it is after a, None if they differ."""
+        waiting, evidence = [(a, b)], 0.0
         while waiting:
             a, b = waiting.pop()
-            if different(final[a], total[a], final[b], total[b], alpha):
-                return False
-            for c in count[a].keys() | count[b].keys():
-                if different(count[a].get(c, 0), total[a], count[b].get(c, 0), total[b], alpha):
-                    return False
-                if c in nxt[a] and c in nxt[b]:
+            ta, tb, ca = total[a], total[b], count[a]
+            if different(final[a], ta, final[b], tb, alpha):
+                return None
+            if final[b]:
+                evidence += final[b] * math.log(max(final[a] / ta, UNSEEN))
+            if tb > few:  # else no frequency of b's can differ from one of 0
+                for c, k in ca.items():
+                    if c not in count[b] and different(k, ta, 0, tb, alpha):
+                        return None
+            for c, k in count[b].items():
+                f = ca.get(c, 0)
+                if different(f, ta, k, tb, alpha):
+                    return None
+                if f:
+                    evidence += k * math.log(f / ta)
                     waiting.append((nxt[a][c], nxt[b][c]))
-        return True
+                else:
+                    evidence += UNKNOWN * sum(count[b].values())
+        return evidence
 
     def fold(a: int, b: int) -> None:
         """Adds the tree under b to the automaton at a."""
@@ -141,11 +181,16 @@ def infer(strings: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[st
         b = nxt[parent][c]
         if b in red:
             continue
-        for a in red:
-            if compatible(a, b):
-                nxt[parent][c] = a
-                fold(a, b)
-                break
+        fits = []
+        for k, a in enumerate(red):
+            if (evidence := compatible(a, b)) is not None:
+                fits.append((evidence, -k))
+                if total[b] > MANY:
+                    break
+        if fits:
+            a = red[-max(fits)[1]]
+            nxt[parent][c] = a
+            fold(a, b)
         else:
             red.append(b)
         blue = [(p, c) for p in red for c in sorted(nxt[p]) if nxt[p][c] not in red]
@@ -157,6 +202,78 @@ def infer(strings: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[st
     return out
 
 
+def exchangeable(strings: list[str], alpha: float = ALPHA) -> dict[str, str]:
+    """{character: the first of those that the bound can't tell from it}, by their frequencies and by what follows them, without the places
+    at which most strings have the same character."""
+    places: dict[int, Counter] = {}
+    for s in strings:
+        for k, c in enumerate(s):
+            places.setdefault(k, Counter())[c] += 1
+    fixed = {k for k, n in places.items() if 2 * max(n.values()) > len(strings)}
+    n = sum((c for k, c in places.items() if k not in fixed), Counter())
+    pairs = Counter(s[k : k + 2] for s in strings for k in range(len(s) - 1) if k not in fixed and k + 1 not in fixed)
+    total = sum(n.values())
+
+    def alike(x: str, y: str) -> bool:
+        if different(n[x], total, n[y], total, alpha):
+            return False
+        return not any(different(pairs[a + a], n[a], pairs[a + b], n[a], alpha) for a, b in ((x, y), (y, x)))
+
+    out: dict[str, str] = {}
+    for c in sorted(set().union(*strings), key=lambda c: (not n[c], c)):  # those of fixed places only stay alone
+        out[c] = next((x for x in dict.fromkeys(out.values()) if alike(x, c)), c) if n[c] else c
+    return out
+
+
+def automaton(strings: list[str], alpha: float, symbols: dict[str, str]) -> list[tuple[float, dict[str, tuple[int, float]]]]:
+    """The inferred automaton with the characters of a symbol in proportion, but those that the bound tells apart in a state by their frequency there."""
+    table = str.maketrans(symbols)
+    n = Counter(c for s in strings for c in s)
+    members: dict[str, list[str]] = {}
+    for c in sorted(n):
+        members.setdefault(symbols.get(c, c), []).append(c)
+    states = infer([s.translate(table) for s in strings], alpha)
+    if all(len(own) == 1 for own in members.values()):
+        return states
+    # all count alike within a symbol, but for what single states say
+    seen: list[Counter] = [Counter() for _ in states]
+    for s in strings:
+        at = 0
+        for c in s:
+            seen[at][c] += 1
+            at = states[at][1][symbols.get(c, c)][0]
+    out = []
+    for (end, moves), here in zip(states, seen, strict=True):
+        own: dict[str, tuple[int, float]] = {}
+        for x, (to, p) in moves.items():
+            m, usual = sum(here[c] for c in members[x]), 1 / len(members[x])
+            apart = {c: here[c] / m for c in members[x] if here[c] and abs(here[c] / m - usual) > math.sqrt(0.5 * math.log(2 / alpha) / m)}
+            rest = len(members[x]) - len(apart)
+            left = max(1 - sum(apart.values()), UNSEEN)
+            for c in members[x]:
+                own[c] = (to, p + math.log(apart.get(c) or left / rest))
+        out.append((end, own))
+    return out
+
+
+def likelihood(states, s: str) -> float:
+    at, total = 0, 0.0
+    for c in s:
+        at, p = states[at][1].get(c, (0, UNKNOWN))
+        total += p
+    return total + states[at][0]
+
+
+def learned(strings: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[str, tuple[int, float]]]]:
+    """With symbols of one character, or of characters that are exchangeable: whichever, learned from one half of the strings, makes the other likelier."""
+    symbols = exchangeable(strings, alpha)
+    if all(a == b for a, b in symbols.items()):
+        return automaton(strings, alpha, {})
+    seen, unseen = strings[::2], strings[1::2]
+    held = [sum(likelihood(a, s) for s in unseen) for a in (automaton(seen, alpha, x) for x in ({}, exchangeable(seen, alpha)))]
+    return automaton(strings, alpha, symbols if held[1] > held[0] else {})
+
+
 class Scorer:
     """All automata as dense tables over bytes, one below the other; `starts` has the first state of each."""
 
@@ -168,62 +285,41 @@ class Scorer:
         if not any(secret for secret, _ in kinds) or all(secret for secret, _ in kinds):
             raise ValueError("examples of credentials and of ordinary strings are needed")
         self.names = sorted(kinds)
-        automata = [infer(kinds[key], alpha) for key in self.names]
-        self.starts = np.concatenate(([0], np.cumsum([len(states) for states in automata])))[:-1]
-        n = sum(len(states) for states in automata)
-        self.to = np.repeat(self.starts, [len(states) for states in automata])[:, None].repeat(128, 1)
-        self.log = np.full((n, 128), math.log(UNSEEN))
+        self.shortest = min(len(s) for (secret, _), own in kinds.items() if secret for s in own)
+        automata = [learned(kinds[key], alpha) for key in self.names]
+        sizes = [len(states) for states in automata]
+        self.starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        n = sum(sizes)
+        self.to = np.repeat(self.starts, sizes)[:, None].repeat(128, 1)
+        self.log = np.full((n, 128), UNKNOWN)
         self.end = np.array([end for states in automata for end, _ in states])
         for start, states in zip(self.starts, automata, strict=True):
             for k, (_, moves) in enumerate(states):
                 for c, (state, p) in moves.items():
                     if ord(c) < 128:
                         self.to[start + k, ord(c)], self.log[start + k, ord(c)] = start + state, p
+        # the ordinary automata stand first
+        self.ordinary = sum(k for k, (secret, _) in zip(sizes, self.names, strict=True) if not secret)
 
-    def scores(self, strings: list[str]) -> tuple[np.ndarray, list[str]]:
-        """Score of each string and the credential kind that fits best. Strings are of ASCII."""
-        n = len(strings)
-        lengths = np.array([len(s) for s in strings])
-        raw = np.frombuffer("".join(strings).encode("ascii"), np.uint8)
-        first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        order = np.argsort(-lengths, kind="stable")
-        left, first = lengths[order], first[order]
-        at = np.repeat(self.starts[:, None], n, 1)
-        total = np.zeros((len(self.names), n))
-        ends = np.searchsorted(-left, -np.arange(int(left[0]) if n else 0))
-        for k, m in enumerate(ends.tolist()):  # those longer than k
-            c = raw[first[:m] + k]
-            total[:, :m] += self.log[at[:, :m], c]
-            at[:, :m] = self.to[at[:, :m], c]
-        total += self.end[at]
-        secret = np.array([s for s, _ in self.names])
-        best = np.where(secret[:, None], total, -np.inf).argmax(0)
-        score = total[best, np.arange(n)] - total[~secret].max(0)
-        out, kind = np.zeros(n), [""] * n
-        out[order] = score
-        for k, b in zip(order, best, strict=True):
-            kind[k] = self.names[b][1]
-        return out, kind
-
-    def spans(self, strings: list[str], threshold: float, shortest: int) -> dict[int, list[tuple[int, int, str, float]]]:
-        """{string: (start, end, kind, score)} of the spans over the threshold, of those that overlap the best."""
-        raw = np.frombuffer("".join(strings).encode("ascii"), np.uint8)
+    def spans(self, runs: list[str], threshold: float, shortest: int) -> dict[int, list[tuple[int, int, str, float, float]]]:
+        """{run: (start, end, kind, log-likelihood, score)} of the spans over the threshold; of equal kinds the first by name. Runs are of ASCII."""
+        raw = np.frombuffer("".join(runs).encode("ascii"), np.uint8)
         letter = np.zeros(128, bool)
         letter[[ord(c) for c in ALNUM]] = True
-        inside = letter[raw]
-        lengths = np.array([len(s) for s in strings], np.int64)
+        lengths = np.array([len(s) for s in runs], np.int64)
         stop = np.cumsum(lengths)
-        edge = np.zeros(len(raw) + 1, bool)
-        edge[0] = edge[stop] = True
-        follows = np.concatenate((inside[1:], [False]))
-        closes = inside & (~follows | edge[1:])  # the last character of a token
-        opens = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | edge[:-1]))
+        border = np.zeros(len(raw) + 1, bool)
+        border[:-1] |= ~letter[raw]
+        border[1:] |= ~letter[raw]
+        border[0] = border[stop] = True
+        opens = np.flatnonzero(border[:-1])
         owner = np.searchsorted(stop, opens, "right")
         some = stop[owner] - opens >= shortest
         opens, owner = opens[some], owner[some]
         secret = np.array([s for s, _ in self.names])
         kinds = np.flatnonzero(secret)
-        found: dict[int, list[tuple[float, int, int, str]]] = {}
+        found: dict[int, list[tuple[int, int, str, float, float]]] = {}
+        chance = math.log(1 / len(CHARACTERS))
         for a in range(0, len(opens), WALKS):
             first, who = opens[a : a + WALKS], owner[a : a + WALKS]
             at, total = np.repeat(self.starts[:, None], len(first), 1), np.zeros((len(self.names), len(first)))
@@ -233,92 +329,163 @@ class Scorer:
                 total += self.log[at, c]
                 at = self.to[at, c]
                 k += 1
-                if k >= shortest and (m := np.flatnonzero(closes[first + k - 1])).size:
+                if k >= shortest and (m := np.flatnonzero(border[first + k])).size:
                     whole = total[:, m] + self.end[at[:, m]]
                     best = kinds[whole[secret].argmax(0)]
-                    score = whole[best, np.arange(len(m))] - whole[~secret].max(0)
+                    value = whole[best, np.arange(len(m))]
+                    score = value - whole[~secret].max(0)
                     for q in np.flatnonzero(score > threshold):
                         w = int(who[m[q]])
                         start = int(first[m[q]] - stop[w] + lengths[w])
-                        found.setdefault(w, []).append((float(score[q]), start, start + k, self.names[best[q]][1]))
-                on = (first + k < stop[who]) & (total[secret].max(0) - total[~secret].max(0) > -HOPELESS)
+                        found.setdefault(w, []).append((start, start + k, self.names[best[q]][1], float(value[q]), float(score[q])))
+                least = np.maximum(total[~secret].max(0), chance * k) - HOPELESS
+                on = (first + k < stop[who]) & (total[secret].max(0) > least)
                 if not on.all():
                     first, who, at, total = first[on], who[on], at[:, on], total[:, on]
-        out = {}
-        for w, own in found.items():
-            taken: list[tuple[int, int, str, float]] = []
-            for score, start, end, kind in sorted(own, key=lambda x: (-x[0], x[1], x[2])):
-                k = bisect.bisect(taken, (start,))
-                if (k == len(taken) or taken[k][0] >= end) and (k == 0 or taken[k - 1][1] <= start):
-                    taken.insert(k, (start, end, kind, score))
-            out[w] = taken
-        return out
+        return found
+
+    def explained(self, run: str, spans: list[tuple[int, int, str, float, float]], price: float) -> tuple[float, list[int]]:
+        """Log-likelihood of the likeliest way to write the run as ordinary strings from border to border and the given spans, at their price, and the spans in it."""
+        to, log, end, heads = memo(("secret_lists", id(self)), self.ordinary_lists)
+        n, raw = len(run), run.encode("ascii")
+        ending: dict[int, list[int]] = {}
+        for k, x in enumerate(spans):
+            ending.setdefault(x[1], []).append(k)
+        links: list[tuple[int, int]] = [(-1, 0)]  # (span, link before it)
+        best = {0: (0.0, 0)}
+        live: dict[int, tuple[float, int]] = {}  # state: its value and link
+        for p in range(n + 1):
+            if p:
+                c, new = raw[p - 1], {}
+                for at, (v, link) in live.items():
+                    v += log[at][c]
+                    at = to[at][c]
+                    if at not in new or new[at][0] < v:
+                        new[at] = (v, link)
+                least = max(new.values())[0] - HOPELESS
+                live = {at: x for at, x in new.items() if x[0] > least}
+            if p in (0, n) or run[p - 1] in SEPARATORS or run[p] in SEPARATORS:
+                if p:
+                    now, link = max((v + end[at], link) for at, (v, link) in live.items())
+                    for x in ending.get(p, ()):
+                        before, old = best[spans[x][0]]
+                        if (v := before + spans[x][3] - price) > now:
+                            links.append((x, old))
+                            now, link = v, len(links) - 1
+                    best[p] = (now, link)
+                for at in heads:
+                    if at not in live or live[at][0] < best[p][0]:
+                        live[at] = best[p]
+        now, link = best[n]
+        out = []
+        while link:
+            out.append(links[link][0])
+            link = links[link][1]
+        return now, out[::-1]
+
+    def ordinary_lists(self):
+        m = self.ordinary
+        return self.to[:m].tolist(), self.log[:m].tolist(), self.end[:m].tolist(), self.starts[self.starts < m].tolist()
 
     def credentials(self, runs: list[str], threshold: float, shortest: int) -> dict[str, list[tuple[int, int, str, float]]]:
-        """{run: (start, end, kind, score) of each credential in it, from left to right}: the whole run or else its best spans."""
+        """{run: (start, end, kind, score) of each credential in it, from left to right}. The score is the credential's log-likelihood less that of
+        the likeliest ordinary explanation of its characters."""
         runs = sorted(set(runs))
-        score, kind = self.scores(runs)
-        out = {x: [(0, len(x), k, float(v))] for x, k, v in zip(runs, kind, score, strict=True) if v > threshold}
-        rest = [x for x in runs if x not in out and not x.isalnum()]
-        return out | {rest[k]: own for k, own in self.spans(rest, threshold, shortest).items()}
+        out = {}
+        for k, own in self.spans(runs, threshold, shortest).items():
+            run = runs[k]
+            if run.isalnum():  # one token: the whole of it or nothing
+                taken = [(a, z, kind, score) for a, z, kind, _, score in own]
+            else:
+                chosen = [own[x] for x in self.explained(run, own, threshold)[1]]
+                taken = [(a, z, kind, value - self.explained(run[a:z], [], threshold)[0]) for a, z, kind, value, _ in chosen]
+            if taken:
+                out[run] = taken
+        return out
 
 
-def labelled_rows(labelled: DataFrame) -> list[tuple[str, bool, str]]:
+def labelled_rows(labelled: DataFrame, most: int) -> list[tuple[str, bool, str]]:
     from pyspark.sql import Window
 
     w = Window.partitionBy("kind", "secret").orderBy(F.xxhash64("credential"), "credential")
     rows = labelled.select("kind", "secret", "credential").where("kind is not null and secret is not null and credential is not null")
-    return [tuple(r) for r in rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= MOST_EXAMPLES).drop("k").orderBy("kind", "secret", "credential").collect()]
+    return [tuple(r) for r in rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k").orderBy("kind", "secret", "credential").collect()]
 
 
-def scorer(spark: SparkSession, labelled: DataFrame | None = None):
+def scorer(spark: SparkSession, labelled: DataFrame | None = None, most: int = MOST_EXAMPLES):
     if labelled is None:
-        return spread(spark, memo("secret_scorer", lambda: Scorer(examples())))
-    return spread(spark, Scorer(labelled_rows(labelled)))
+        return memo("secret_scorer", lambda: Scorer(examples()))
+    return Scorer(labelled_rows(labelled, most))
 
 
-def candidates(text: str = "t", shortest: int = SHORTEST):
-    return F.regexp_extract_all(text, F.lit(f"{CANDIDATE}{{{shortest},}}"), 0)
+def character_table() -> np.ndarray:
+    t = np.zeros(256, bool)
+    t[[ord(c) for c in CHARACTERS]] = True
+    return t
 
 
-def clean(s: str) -> str:
-    """Without the punctuation of its sentence."""
-    return s.strip(".-=/+_")
+def candidates(data: np.ndarray, off: np.ndarray, i: int, j: int, shortest: int) -> tuple[np.ndarray, list[int], list[int], list[str]]:
+    """The runs of at least `shortest` characters in texts i to j: their text, first and last + 1 byte and string."""
+    x, first = data[off[i] : off[j]], off[i : j + 1] - off[i]
+    inside = memo("secret_characters", character_table)[x]
+    edge = np.zeros(len(x) + 1, bool)
+    edge[first] = True
+    start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
+    end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
+    long = end - start >= shortest
+    start, end = start[long], end[long]
+    raw = x.tobytes()
+    text = np.searchsorted(first, start, "right") - 1 + i
+    return text, (start + off[i]).tolist(), (end + off[i]).tolist(), [raw[a:z].decode("ascii") for a, z in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
+def found_in(s: Scorer, column, threshold: float, shortest: int):
+    """Yields (texts' bytes and offsets, [(text, first byte of the run, run, its credentials)]) by parts of the column."""
+    data, off = text_bytes(column, lower=False)
+    for i, j in pieces(off, PART):
+        text, start, _, runs = candidates(data, off, i, j, shortest)
+        good = s.credentials(runs, threshold, shortest)
+        yield data, off, [(int(t), a, x, good[x]) for t, a, x in zip(text, start, runs, strict=True) if x in good]
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None, threshold: float = THRESHOLD, shortest: int | None = None, most_examples: int = MOST_EXAMPLES) -> DataFrame:
     """(doc_id, secret, kind, score, n): each different credential of each document, with its number of places.
 
-    Rows with a null id or text have none. Rows of one doc_id are taken together. Runs of any
-    length are scored whole; of one that isn't a credential as a whole, the best spans are. labelled (kind, secret, credential) replaces the
-    built-in examples; MOST_EXAMPLES of each kind are used. Other columns aren't read.
+    doc_id has the type it has in docs. Rows with a null id or text have none, an empty table gives an empty result. Rows of one doc_id are
+    taken together. Texts of any length are read whole, and so are runs. A kind is the first by name of those that fit equally well.
+    shortest: the least length of a candidate, by default that of the shortest labelled credential. labelled (kind, secret, credential)
+    replaces the built-in examples; rows with a null are left out, and at most most_examples of each kind are used. Other columns aren't read.
+
+    What has the form of a labelled credential is one: digests of 40 or 64 hexadecimal digits (of commits, of files) can't be told from keys.
+    UUIDs, encoded text and longer encoded data are ordinary.
     """
-    get = scorer(docs.sparkSession, labelled)
+    own = scorer(docs.sparkSession, labelled, most_examples)
+    least = own.shortest if shortest is None else shortest
+    get = spread(docs.sparkSession, own)
 
     def run(batches):
         s = get()
         for b in batches:
-            ids = b.column(0).to_pylist()
-            found = b.column(1).to_pylist()
-            pairs = [(i, x) for i, own in zip(ids, found, strict=True) for c in own if len(x := clean(c)) >= shortest]
-            good = s.credentials([x for _, x in pairs], threshold, shortest)
-            rows = [(i, x[a:z], k, v) for i, x in pairs for a, z, k, v in good.get(x, ())]
-            if rows:
-                i, x, k, v = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(x), pa.array(k), pa.array(v)], ["doc_id", "secret", "kind", "score"])
+            for _, _, found in found_in(s, b.column(1), threshold, least):
+                rows = [(t, x[a:z], k, v) for t, _, x, own in found for a, z, k, v in own]
+                if rows:
+                    t, x, k, v = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(x), pa.array(k), pa.array(v)], ["doc_id", "secret", "kind", "score"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
-    own = own.select("id", candidates("t", shortest).alias("c")).where(F.size("c") > 0)
-    return own.mapInArrow(run, "doc_id long, secret string, kind string, score double").groupBy("doc_id", "secret", "kind", "score").agg(F.count("*").alias("n"))
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
+    return texts.mapInArrow(run, f"doc_id {kind}, secret string, kind string, score double").groupBy("doc_id", "secret", "kind", "score").agg(F.count("*").alias("n"))
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", labelled: DataFrame | None = None, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """All rows of docs with each credential in the text replaced by [REDACTED], and length_col, if there is one, made right.
+def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", labelled: DataFrame | None = None, threshold: float = THRESHOLD, shortest: int | None = None, most_examples: int = MOST_EXAMPLES) -> DataFrame:
+    """All rows of docs with each credential in the text replaced by [REDACTED], and length_col, if there is one, made right, in one pass.
 
-    Texts without one, and null texts, stay as they are; other columns are untouched.
+    Texts without one, empty and null texts stay as they are; other columns, and rows that repeat, are untouched. Texts of any length are read
+    whole. An empty table gives an empty one. What counts as a credential is as in find_secrets.
     """
-    get = scorer(docs.sparkSession, labelled)
-    pattern = re.compile(f"{CANDIDATE}{{{shortest},}}", re.ASCII)
+    own = scorer(docs.sparkSession, labelled, most_examples)
+    least = own.shortest if shortest is None else shortest
+    get = spread(docs.sparkSession, own)
     names = docs.columns
     at = names.index(text_col)
     length_at = names.index(length_col) if length_col in names else None
@@ -327,25 +494,30 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     def run(batches):
         s = get()
         for b in batches:
-            texts = b.column(at).to_pylist()
-            runs = {clean(m) for t in texts if t for m in pattern.findall(t)}
-            bad = s.credentials([x for x in runs if len(x) >= shortest], threshold, shortest)
-
-            def replaced(m):
-                own, c = m.group(), clean(m.group())
-                before = own.find(c)
-                for a, z, *_ in reversed(bad.get(c, ())):
-                    own = own[: before + a] + REDACTED + own[before + z :]
-                return own
-
-            new = [pattern.sub(replaced, t) if t else t for t in texts]
+            new: dict[int, bytes] = {}
+            for data, off, found in found_in(s, b.column(at), threshold, least):
+                struck: dict[int, list[tuple[int, int]]] = {}
+                for t, start, _, own in found:
+                    struck.setdefault(t, []).extend((start + a, start + z) for a, z, *_ in own)
+                for t, spans in struck.items():
+                    parts, done = [], int(off[t])
+                    for a, z in spans:
+                        parts += [data[done:a].tobytes(), REDACTED.encode()]
+                        done = z
+                    new[t] = b"".join([*parts, data[done : off[t + 1]].tobytes()])
+            if not new:
+                yield b
+                continue
             columns = list(b.columns)
-            columns[at] = pa.array(new, b.schema.field(at).type)
+            texts = columns[at].to_pylist()
+            for t, x in new.items():
+                texts[t] = x.decode()
+            columns[at] = pa.array(texts, b.schema.field(at).type)
             if length_at is not None:
-                own = columns[length_at].to_pylist()
-                own = [len(t) if t != u else k for t, u, k in zip(new, texts, own, strict=True)]
-                columns[length_at] = pa.array(own, b.schema.field(length_at).type)
+                lengths = columns[length_at].to_pylist()
+                for t in new:
+                    lengths[t] = len(texts[t])
+                columns[length_at] = pa.array(lengths, b.schema.field(length_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    has = F.coalesce(F.size(candidates(text_col, shortest)) > 0, F.lit(False))
-    return marked.where(~has).unionAll(marked.where(has).mapInArrow(run, marked.schema))
+    return marked.mapInArrow(run, marked.schema)
