@@ -11,12 +11,16 @@ An item of fewer words than `gram` has one seed, the whole of it.
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from .shared import materialise, sized, spread
+from .shared import id_type, materialise, sized, spread
 from .textscan import U, find_words, gram_hashes, in_sorted, pieces, text_bytes
 
 GRAM = 3
@@ -130,25 +134,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, score): documents that hold an item, or an edited copy, with a score of at least the threshold.
 
     Items with a null id or text, or without words, and documents with a null id or text match nothing. Several texts of
-    one item_id, or rows of one doc_id, give one row with the best score. Other columns aren't read. Items are broadcast
-    in portions of item_words_a_pass words; a larger benchmark takes more passes over the documents.
+    one item_id, or rows of one doc_id, give one row with the best score. Ids of documents and items keep their types. Texts of any length are read
+    whole. Empty tables give an empty result. Other columns aren't read. Items are broadcast in portions of item_words_a_pass words,
+    which the driver holds one at a time; a larger benchmark takes more passes over the documents, and each pass's rows are written to the shared folder.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t")
-    portions: list[list[tuple[int, np.ndarray]]] = [[]]
-    size = 0
+    kinds = id_type(docs, id_col), id_type(benchmark, item_id)
+    texts = docs.select(F.col(id_col).cast(kinds[0]).alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
+    items = benchmark.select(F.col(item_id).cast(kinds[1]).alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t")
+    out = spark.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, score double")
+    own: list[tuple[Any, np.ndarray]] = []
+    size, passes = 0, 0
     for k, texts_of in _by_item(items):
         for h in texts_of:
-            if size + len(h) > item_words_a_pass and portions[-1]:
-                portions.append([])
-                size = 0
-            portions[-1].append((k, h))
+            if own and size + len(h) > item_words_a_pass:
+                out = out.unionAll(materialise(_pass(texts, Seeds(own, gram), threshold, kinds), "pass"))
+                own, size, passes = [], 0, passes + 1
+            own.append((k, h))
             size += len(h)
-    out = spark.createDataFrame([], "doc_id long, item_id long, score double")
-    for own in portions:
-        if own:
-            out = out.unionAll(_pass(texts, Seeds(own, gram), threshold))
+    if own:
+        last = _pass(texts, Seeds(own, gram), threshold, kinds)
+        out = out.unionAll(materialise(last, "pass") if passes else last)
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
@@ -164,7 +170,7 @@ def _by_item(items: DataFrame):
     yield from item_words(ids, texts).items()
 
 
-def _pass(texts: DataFrame, seeds: Seeds, threshold: float) -> DataFrame:
+def _pass(texts: DataFrame, seeds: Seeds, threshold: float, kinds: tuple[str, str]) -> DataFrame:
     spark = texts.sparkSession
     all_seeds = spread(spark, seeds)
 
@@ -183,21 +189,21 @@ def _pass(texts: DataFrame, seeds: Seeds, threshold: float) -> DataFrame:
     found = np.zeros(len(seeds.distinct) + 1, np.int64)  # the last for all documents
     for k, n in texts.select("t").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
         found[k] = n
+    item_kind = to_arrow_type(StructType.fromDDL(f"i {kinds[1]}")[0].dataType)
     rare = spread(spark, seeds.rarer(found[:-1], int(found[-1])))
 
     def scored(batches):
         seeds = rare()
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
             data, off = text_bytes(b.column(1))
             for i, j in pieces(off):
                 _, _, doc, h = find_words(data, off, i, j)
                 rows = [x for x in seeds.aligned(h, doc) if x[2] >= threshold]
                 if rows:
                     d, item, score = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[list(d)], pa.int64()), pa.array(item, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "item_id", "score"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(item, item_kind), pa.array(score, pa.float64())], ["doc_id", "item_id", "score"])
 
-    return texts.mapInArrow(scored, "doc_id long, item_id long, score double")
+    return texts.mapInArrow(scored, f"doc_id {kinds[0]}, item_id {kinds[1]}, score double")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import spread
+from .shared import id_type, spread
 from .textscan import BASE, U, distinct_words, in_sorted, memo, pieces, prefix_hash, span_hash, take_spans, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -179,8 +179,10 @@ def score(docs: DataFrame, lattice: Lattice, id_col: str = "doc_id", text_col: s
     """(doc_id, n_words, n_chars, log_prob, bits_per_char): one row for each row with a text.
 
     n_chars has one for the begin of each word. A text without words has log_prob 0 and no bits_per_char. Rows with a null text give none;
-    a null id stays null. Other columns aren't read.
+    a null id stays null, and ids keep their type. Texts of any length are read whole, and rows that repeat are scored each. An empty table gives an
+    empty result. Other columns aren't read.
     """
+    kind = id_type(docs, id_col)
     get = spread(docs.sparkSession, lattice)
 
     def run(batches):
@@ -196,8 +198,8 @@ def score(docs: DataFrame, lattice: Lattice, id_col: str = "doc_id", text_col: s
             bits = pa.array(-p / math.log(2) / np.maximum(m, 1), mask=m == 0)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(m), pa.array(p), bits], ["doc_id", "n_words", "n_chars", "log_prob", "bits_per_char"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    return own.mapInArrow(run, "doc_id long, n_words long, n_chars long, log_prob double, bits_per_char double")
+    own = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    return own.mapInArrow(run, f"doc_id {kind}, n_words long, n_chars long, log_prob double, bits_per_char double")
 
 
 def score_corpus(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:

@@ -4,7 +4,7 @@ Each bin is filled greedily, always with the longest document that still fits. W
 smallest document is taken out again if two unpacked documents fit the widened gap more tightly than it did; of all pairs the one with
 the greatest sum is taken, and of those the one with the longest document. After that greedy filling goes on.
 
-Documents are dealt by a hash of their id to groups of about `group_rows`, each packed by one task, so the
+A document's length is its number of tokens. Documents are dealt by a hash of their row to groups of about `group_rows`, each packed by one task, so the
 number of groups grows with the corpus. A group wastes at most its last bins, which is little at that size.
 """
 
@@ -12,9 +12,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import id_type, materialise
+from .token_counts import row_tokens
+
 CAPACITY = 2048
 GROUP_ROWS = 50_000
 
@@ -61,11 +65,8 @@ class Lengths:
         return None
 
 
-def pack(lengths: np.ndarray, capacity: int, single: bool = False) -> list[list[int]]:
-    """Bins as lists of lengths, each from 1 to capacity, in the order in which they were put in.
-
-    single: whether the document of a bin that holds one only is exchanged too.
-    """
+def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins as lists of lengths, each from 1 to capacity, in the order in which they were put in."""
     left = Lengths(np.bincount(lengths, minlength=capacity + 1))
     bins = []
     while left.bits:
@@ -79,7 +80,7 @@ def pack(lengths: np.ndarray, capacity: int, single: bool = False) -> list[list[
             return gap
 
         gap = fill(own, gap)
-        if gap and (single or len(own) > 1):
+        if gap:
             least = min(own)
             if two := left.pair(min(gap + least, capacity), least):
                 own.reverse()
@@ -107,7 +108,7 @@ def placed(ids: np.ndarray, lengths: np.ndarray, capacity: int):
     out = [(order[rows], np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), part, np.full(len(rows), capacity))]
     some = np.flatnonzero(rest)
     some = some[np.lexsort((ids[some], rest[some]))]
-    bins = pack(rest[some], capacity, single=True)
+    bins = pack(rest[some], capacity)
     if bins:
         flat = np.array([n for own in bins for n in own])
         number = np.repeat(np.arange(len(bins)), [len(own) for own in bins])
@@ -123,29 +124,28 @@ def placed(ids: np.ndarray, lengths: np.ndarray, capacity: int):
     return (np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def word_count(text_col: str = "text"):
-    """Runs of characters other than white space."""
-    return F.regexp_count(F.col(text_col).cast("string"), F.lit(r"\S+"))
-
-
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length=None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, part, length, bin_group, bin, place, start): where each piece of each document goes.
 
-    length is an integer Column, by default the number of words of the text. A bin is named by bin_group and bin; pieces stand in it
+    length is an integer Column, by default the number of tokens of the text. A bin is named by bin_group and bin; pieces stand in it
     in order of place, each from start. Part k of a document begins at its unit k * capacity. Rows with a null length (so
     with a null text) or one under 1 have nothing to pack and give no row. A null id is packed like others. Rows that
-    repeat are packed as often as they occur. Ties in length go by id. Other columns aren't read.
+    repeat are packed as often as they occur, and dealt to groups each by itself. Ties in length go by id; ids may be of any type that has an order.
+    Texts of any length are counted whole. An empty table gives an empty result. Other columns aren't read.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    own = docs.select(F.col(id_col).cast("long").alias("id"), (word_count(text_col) if length is None else length).cast("long").alias("n"))
-    groups = max(1, -(-docs.count() // group_rows))
-    own = own.where("n >= 1").select("id", "n", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"))
+    kind = id_type(docs, id_col)
+    own = row_tokens(docs, id_col, text_col) if length is None else docs.select(F.col(id_col).cast(kind).alias("id"), length.cast("long").alias("n"))
+    # written, so that a row's number and so its group are the same wherever they are read; tokens are counted once
+    own = materialise(own.where("n >= 1").withColumn("r", F.monotonically_increasing_id()), "lengths")
+    groups = max(1, -(-own.count() // group_rows))
+    own = own.select("id", "n", F.pmod(F.xxhash64("r"), F.lit(groups)).alias("g"))
 
     def run(t: pa.Table) -> pa.Table:
         ids = t.column(0).combine_chunks()
-        keys = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        keys = pc.rank(ids, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
         row, number, place, start, part, n = placed(keys, t.column(1).to_numpy(), capacity)
         return pa.table([ids.take(pa.array(row)), pa.array(part), pa.array(n), t.column(2).take(pa.array(row)), pa.array(number), pa.array(place), pa.array(start)], names=["doc_id", "part", "length", "bin_group", "bin", "place", "start"])
 
-    return own.groupBy("g").applyInArrow(run, "doc_id long, part long, length long, bin_group long, bin long, place long, start long")
+    return own.groupBy("g").applyInArrow(run, f"doc_id {kind}, part long, length long, bin_group long, bin long, place long, start long")

@@ -5,7 +5,8 @@ characters and of short words and words that repeat the last one among its words
 shares of short texts are drawn to a usual one, for else few words would make any text unusual. For each
 language and source the minimum covariance determinant estimate is found by concentration steps: from coordinatewise
 medians and MADs, the h = coverage * n documents of least Mahalanobis distance give the next mean and covariance,
-until the given number of steps. Every step is one pass over all vectors of all groups: percentile_approx
+until no group's determinant falls any more (by SETTLED of its logarithm; a step never raises it but for the quantile's approximation, and
+`steps` bounds their number). Every step is one pass over all vectors of all groups: percentile_approx
 for the h-th distance and plain sums for the moments, so a group may be of any size. The covariance is scaled so
 that the median distance is that of a chi-square, and documents beyond `cutoff` of it are rejected.
 
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, sized
+from .shared import id_type, materialise, release, sized
 from .textscan import find_words, memo, pieces, text_bytes
 
 STATS = ["symbols", "upper", "word_length", "short_words", "repeats"]
 D = len(STATS)
 COVERAGE = 0.75
-STEPS = 4
+#: Far beyond what is needed; groups settle after four to ten.
+STEPS = 40
+SETTLED = 1e-3
 LEAST = 100
 #: Share of a chi-square beyond which a document is rejected: about one in ten thousand million normal ones.
 CUTOFF = 1e-10
@@ -71,6 +74,7 @@ def vectors(data: np.ndarray, off: np.ndarray, i: int, j: int) -> np.ndarray:
 
 def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """(id, lang, source, x0...): of rows with a non-null id and text."""
+    kind = id_type(docs, id_col)
 
     def run(batches):
         for b in batches:
@@ -80,8 +84,8 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
                 v = np.concatenate(out)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(v[:, k]) for k in range(D))], ["id", "lang", "source", *(f"x{k}" for k in range(D))])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).cast("string").alias("t"))
-    return own.where("id is not null and t is not null").mapInArrow(run, "id long, lang string, source string, " + ", ".join(f"x{k} double" for k in range(D)))
+    own = docs.select(F.col(id_col).cast(kind).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).cast("string").alias("t"))
+    return own.where("id is not null and t is not null").mapInArrow(run, f"id {kind}, lang string, source string, " + ", ".join(f"x{k} double" for k in range(D)))
 
 
 def chi_square(share_beyond: float, d: int) -> float:
@@ -100,31 +104,33 @@ def distance(center: str = "center", inverse: str = "inverse"):
 
 
 def estimates(moments: DataFrame) -> DataFrame:
-    """(group, center, inverse) from n, sums and products of each group."""
+    """(group, center, inverse, logarithm of the determinant) from n, sums and products of each group."""
 
     def run(batches):
         for b in batches:
             n, s, p = b.column(1).to_numpy(), np.array(b.column(2).to_pylist()).reshape(-1, D), np.array(b.column(3).to_pylist()).reshape(-1, len(PAIRS))
-            centers, inverses = [], []
+            centers, inverses, sizes = [], [], []
             for k in range(b.num_rows):
                 m = s[k] / n[k]
                 c = np.zeros((D, D))
                 for q, (i, j) in enumerate(PAIRS):
                     c[i, j] = c[j, i] = p[k, q] / n[k] - m[i] * m[j]
-                inverse = np.linalg.inv(c + RIDGE * np.eye(D))
+                c += RIDGE * np.eye(D)
+                inverse = np.linalg.inv(c)
+                sizes.append(float(np.linalg.slogdet(c)[1]))
                 centers.append(m.tolist())
                 inverses.append([inverse[i, j] for i, j in PAIRS])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(centers, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], ["g", "center", "inverse"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(centers, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64())), pa.array(sizes, pa.float64())], ["g", "center", "inverse", "size"])
 
-    return moments.select("g", "n", "s", "p").mapInArrow(run, "g string, center array<double>, inverse array<double>")
+    return moments.select("g", "n", "s", "p").mapInArrow(run, "g string, center array<double>, inverse array<double>, size double")
 
 
 def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", coverage: float = COVERAGE, steps: int = STEPS, least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
     """(doc_id, lang, source, n_group, distance, rejected): one row for each row with an id and a text.
 
     A null language or source is a group of its own, named by the empty string. Empty texts have a vector like others. distance
-    is the scaled squared Mahalanobis distance, null where no estimate was possible; such rows aren't rejected.
-    Repeated rows count as often as they occur. Other columns aren't read.
+    is the scaled squared Mahalanobis distance, null where no estimate was possible; such rows aren't rejected. Ids keep their type.
+    Repeated rows count as often as they occur. Texts of any length are read whole. An empty table gives an empty result. Other columns aren't read.
     """
     x = materialise(statistics(docs, id_col, text_col, lang_col, source_col), "statistics")
     sep = "\u0001"
@@ -149,13 +155,19 @@ def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     # a normal distribution's quartiles are 1.349 standard deviations apart
     spread = [F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(math.sqrt(RIDGE))) for c in columns]
     diagonal = [1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i, j in PAIRS]
-    now = materialise(middle.select("g", F.array(*(F.col(c)[1] for c in columns)).alias("center"), F.array(*diagonal).alias("inverse")), "estimate")
+    now = materialise(middle.select("g", F.array(*(F.col(c)[1] for c in columns)).alias("center"), F.array(*diagonal).alias("inverse"), F.lit(math.inf).alias("size")), "estimate")
     for _ in range(steps):
-        at = x.join(sized(now, names, 400), "g").withColumn("d", distance())
-        near = at.groupBy("g").agg(F.percentile_approx("d", F.lit(coverage), 2000).alias("most"))
-        core = at.join(sized(materialise(near, "quantile"), names, 100), "g").where("d <= most")
+        was = now
+        at = x.join(sized(was.drop("size"), names, 400), "g").withColumn("d", distance())
+        near = materialise(at.groupBy("g").agg(F.percentile_approx("d", F.lit(coverage), 2000).alias("most")), "quantile")
+        core = at.join(sized(near, names, 100), "g").where("d <= most")
         moments = core.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.sum(c) for c in columns)).alias("s"), F.array(*(F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in PAIRS)).alias("p"))
         now = materialise(estimates(moments), "estimate")
+        falls = now.join(was.select("g", F.col("size").alias("before")), "g").agg(F.max(F.col("before") - F.col("size"))).first()[0]
+        release(was, near)
+        if falls is None or falls <= SETTLED:
+            break
+    now = now.drop("size")
     at = x.join(sized(now, names, 400), "g").withColumn("d", distance())
     scale = at.groupBy("g").agg((F.percentile_approx("d", F.lit(0.5), 2000) / chi_square(0.5, D)).alias("scale"))
     scale = materialise(scale, "scale")

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import math
+import pickle
 import random
 import string
 from collections import Counter
@@ -35,7 +36,7 @@ from .textscan import memo, pieces, text_bytes
 
 ALPHA = 0.05
 THRESHOLD = 6.0
-EXAMPLES = 400
+EXAMPLES = 250
 #: Labelled rows used of each kind by default, the least by hash; more are of no use to automata of this size.
 MOST_EXAMPLES = 2000
 UNSEEN = 1e-5
@@ -277,16 +278,20 @@ def learned(strings: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[
 class Scorer:
     """All automata as dense tables over bytes, one below the other; `starts` has the first state of each."""
 
-    def __init__(self, rows: list[tuple[str, bool, str]], alpha: float = ALPHA):
+    def __init__(self, rows: list[tuple[str, bool, str]]):
         kinds: dict[tuple[bool, str], list[str]] = {}
         for kind, secret, s in rows:
             if s:
                 kinds.setdefault((bool(secret), kind), []).append(s)
+        self.set({key: (min(map(len, own)), learned(own)) for key, own in kinds.items()})
+
+    def set(self, kinds: dict[tuple[bool, str], tuple[int, list]]) -> None:
+        """kinds: the shortest example and the automaton of each (secret, kind)."""
         if not any(secret for secret, _ in kinds) or all(secret for secret, _ in kinds):
             raise ValueError("examples of credentials and of ordinary strings are needed")
         self.names = sorted(kinds)
-        self.shortest = min(len(s) for (secret, _), own in kinds.items() if secret for s in own)
-        automata = [learned(kinds[key], alpha) for key in self.names]
+        self.shortest = min(n for (secret, _), (n, _) in kinds.items() if secret)
+        automata = [kinds[key][1] for key in self.names]
         sizes = [len(states) for states in automata]
         self.starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         n = sum(sizes)
@@ -404,18 +409,30 @@ class Scorer:
         return out
 
 
-def labelled_rows(labelled: DataFrame, most: int) -> list[tuple[str, bool, str]]:
+def trained(labelled: DataFrame, most: int) -> Scorer:
+    """Automata of (kind, secret, credential): each kind is learned by a task, from at most `most` of its rows."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("kind", "secret").orderBy(F.xxhash64("credential"), "credential")
-    rows = labelled.select("kind", "secret", "credential").where("kind is not null and secret is not null and credential is not null")
-    return [tuple(r) for r in rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k").orderBy("kind", "secret", "credential").collect()]
+    rows = labelled.select("kind", "secret", "credential").where("kind is not null and secret is not null and credential <> ''")
+    rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+
+    def learn(t: pa.Table) -> pa.Table:
+        strings = sorted(t.column("credential").to_pylist())
+        random.Random(1).shuffle(strings)
+        return pa.table({"kind": t.column("kind").slice(0, 1), "secret": t.column("secret").slice(0, 1), "states": [pickle.dumps((min(map(len, strings)), learned(strings)))]})
+
+    # a partition a kind, as learning is dear and rows are few
+    rows = rows.repartition(32, "kind", "secret")
+    own = object.__new__(Scorer)
+    own.set({(r.secret, r.kind): pickle.loads(r.states) for r in rows.groupBy("kind", "secret").applyInArrow(learn, "kind string, secret boolean, states binary").collect()})
+    return own
 
 
-def scorer(spark: SparkSession, labelled: DataFrame | None = None, most: int = MOST_EXAMPLES):
-    if labelled is None:
-        return memo("secret_scorer", lambda: Scorer(examples()))
-    return Scorer(labelled_rows(labelled, most))
+def scorer(spark: SparkSession, labelled: DataFrame | None = None, most: int = MOST_EXAMPLES) -> Scorer:
+    if labelled is not None:
+        return trained(labelled, most)
+    return memo("secret_scorer_trained", lambda: trained(spark.createDataFrame(examples(), "kind string, secret boolean, credential string"), 1 << 20))
 
 
 def character_table() -> np.ndarray:

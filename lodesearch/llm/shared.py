@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +29,66 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     The table survives the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = kept_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+_kept: dict[str, SparkSession] = {}
+
+
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by release() or at the end of the driver's process."""
+    if not _kept:
+        atexit.register(release_all)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _kept[path] = spark
+    return path
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by materialise() that nothing reads any more."""
+    for t in tables:
+        delete(t._table)
+
+
+def delete(path: str) -> None:
+    spark = _kept.pop(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release_all() -> None:
+    for path in list(_kept):
+        try:
+            delete(path)
+        except Exception:  # the session's JVM may be gone before the process
+            return
+
+
+def id_type(docs: DataFrame, id_col: str) -> str:
+    """The id's type as results carry it: integers as long, others as they are."""
+    kind = docs.select(F.col(id_col)).schema[0].dataType
+    return "long" if isinstance(kind, T.IntegralType) else kind.simpleString()
+
+
+def with_long_ids(docs: DataFrame, id_col: str, run, names: list[str]) -> DataFrame:
+    """run(docs) for ids of any type: those that aren't integers are numbered in their order, and the named columns of the result get them back.
+
+    The numbers are written to the shared folder first, so that they are the same wherever they are read.
+    """
+    if id_type(docs, id_col) == "long":
+        return run(docs)
+    ids = docs.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().sort("__id")
+    ids = materialise(ids.withColumn("__number", F.monotonically_increasing_id()), "ids")
+    own = docs.join(ids, docs[id_col] == F.col("__id")).drop("__id", id_col).withColumnRenamed("__number", id_col)
+    out = run(own)
+    columns = out.columns
+    for name in names:
+        out = out.withColumnRenamed(name, "__n").join(ids, F.col("__n") == F.col("__number")).drop("__n", "__number").withColumnRenamed("__id", name)
+    return out.select(*columns)
 
 
 def task_count(spark: SparkSession, rows: int, rows_each: int) -> int:

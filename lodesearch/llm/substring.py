@@ -7,7 +7,8 @@ that only about one word in (window - gram + 2) / 2 is an anchor.
 Pass 1: each partition counts its anchors in a count-min sketch of two rows, the sketches are merged by adding,
 and the cells of at least 2 are kept as bits. A cell never undercounts, so an anchor that occurs twice has both
 its bits set. Pass 2: windows whose anchor has both bits go on, and exactly these are grouped by
-their hash. Windows that do repeat are never lost; a full sketch only lets more windows reach the grouping.
+their hash of 128 bits (two polynomials of the words' hashes with different bases; at 100 TB, some 1e13 windows, the chance that any two different ones
+share it is below 1e-11, so texts aren't compared). Windows that do repeat are never lost; a full sketch only lets more windows reach the grouping.
 The sketch has about four cells an anchor up to `sketch_bytes`, which bounds what is broadcast.
 """
 
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import task_count
-from .textscan import U, find_words, gram_hashes, pieces, text_bytes
+from .shared import task_count, with_long_ids
+from .textscan import SECOND_BASE, U, find_words, gram_hashes, mix, pieces, text_bytes
 
 WINDOW = 50
 GRAM = 25
@@ -118,10 +119,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     start_word counts the document's words from 0. n_windows repeated windows start in the passage; n_later of them
     have an equal one before, by doc_id and place, so that a passage with n_later = n_windows holds nothing new.
     Rows with a null id or text, and texts of fewer words than the window, give none. Rows that repeat an id are
-    each read as a text of its own, whose passages are merged under the one id. Other columns aren't read.
+    each read as a text of its own, whose passages are merged under the one id. Ids may be of any type that has an order. Texts of any
+    length are read whole. Other columns aren't read. An empty table gives an empty result.
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must be from 1 to window")
+    return with_long_ids(docs.select(id_col, text_col), id_col, lambda own: _repeated_passages(own, id_col, text_col, window, gram, sketch_bytes), ["doc_id"])
+
+
+def _repeated_passages(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, sketch_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
     n_bytes = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -142,15 +148,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for i, j in pieces(off):
                 _, _, doc, h = find_words(data, off, i, j)
                 at, whole, anchor, _ = windows_of(h, doc, window, gram)
+                kept = np.arange(len(at))
                 for row in range(ROWS):
-                    c = cells(anchor, row, bits)
-                    ok = (flags[row, c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-                    at, whole, anchor = at[ok], whole[ok], anchor[ok]
+                    c = cells(anchor[kept], row, bits)
+                    kept = kept[(flags[row, c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)]
+                at, whole = at[kept], whole[kept]
                 first = np.searchsorted(doc, doc[at])
-                out.append((whole.view(np.int64), ids[doc[at]], (at - first).astype(np.int32)))
+                _, second = gram_hashes(mix(h), doc, window, SECOND_BASE)
+                out.append((whole.view(np.int64), second[kept].view(np.int64), ids[doc[at]], (at - first).astype(np.int32)))
             if out:
-                w, d, p = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(d, pa.int64()), pa.array(p)], ["w", "id", "p"])
+                w, x, d, p = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(x), pa.array(d, pa.int64()), pa.array(p)], ["w", "x", "id", "p"])
 
     def whole_partition(batches):
         got = [b for b in batches if b.num_rows]
@@ -159,11 +167,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def grouped(batches):
         if (t := whole_partition(batches)) is None:
             return
-        w, d, p = (t.column(k).to_numpy() for k in range(3))
-        o = np.lexsort((p, d, w))
-        w = w[o]
+        w, x, d, p = (t.column(k).to_numpy() for k in range(4))
+        o = np.lexsort((p, d, x, w))
+        w, x = w[o], x[o]
         later = np.zeros(len(w), bool)
-        later[1:] = w[1:] == w[:-1]
+        later[1:] = (w[1:] == w[:-1]) & (x[1:] == x[:-1])
         repeated = later.copy()
         repeated[:-1] |= later[1:]
         o, later = o[repeated], later[repeated]
@@ -183,7 +191,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     tasks = task_count(spark, n_bytes // 24, 500_000)
     return (
-        texts.mapInArrow(estimated, "w long, id long, p int")
+        texts.mapInArrow(estimated, "w long, x long, id long, p int")
         .repartition(tasks, "w")
         .mapInArrow(grouped, "id long, p int, later boolean")
         .repartition(tasks, "id")

@@ -1,8 +1,11 @@
 """Vectorised scanning of Arrow text columns.
 
 A column is seen as one byte array with document offsets. Words are maximal runs of ASCII letters,
-digits and non-ASCII characters. They are identified by 64-bit hashes that come from prefix sums of a
-polynomial, so that hashing all words of a megabyte takes a few array operations and no Python loop.
+digits and non-ASCII characters. They are identified by 64-bit hashes: the sum of random-looking numbers of each eight bytes at
+their place in the word, mixed, so that hashing all words of a megabyte takes a few array operations and no Python loop. (A polynomial modulo
+2**64 gives some different words of 1024 letters one hash, whatever its base.) Two given words share a hash with a chance of 2**-64.
+
+Runs of a few words, and short substrings, have polynomial hashes, as they are taken at every place.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 WINDOW_BASE = 0xD6E8FEB86659FD93
+SECOND_BASE = 0xA0761D6478BD642F
 
 
 def memo(key, make):
@@ -97,6 +101,28 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return mix((prefix[end] - prefix[start]) * inverse[start])
 
 
+def run_hashes(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs from start to end of bytes or code points, eight bytes at a time."""
+    if not len(start):
+        return np.zeros(0, U)
+    wide = x.dtype.itemsize
+    size = (end - start) * wide
+    buffer = np.zeros(len(x) * wide + 8, np.uint8)
+    buffer[:-8] = x.view(np.uint8)
+    eights = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+    n = (size + 7) >> 3
+    if n.max() == 1:
+        at, k, left = start * wide, np.zeros(1, np.int64), size
+    else:
+        first = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) - np.repeat(first, n)
+        at, left = np.repeat(start * wide, n) + 8 * k, np.repeat(size, n) - 8 * k
+    part = eights[at] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - (np.minimum(left, 8) << 3).astype(U)))
+    value = mix(part ^ mix(k.astype(U) + U(1)))
+    total = value if n.max() == 1 else np.add.reduceat(value, first)
+    return mix(total + size.astype(U) * U(BASE))
+
+
 def space_table() -> np.ndarray:
     t = np.ones(256, bool)
     t[9:14] = t[32] = False
@@ -127,19 +153,17 @@ def find_words(data: np.ndarray, off: np.ndarray, i: int, j: int, spaced: bool =
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | border[1:])) + 1
     doc = np.searchsorted(first, start, "right") - 1 + i
-    # bytes count from 1, so that no byte is worth nothing
-    h = span_hash(prefix_hash(x.astype(U) + U(1), BASE), start, end, BASE)
-    return start + off[i], end + off[i], doc, h
+    return start + off[i], end + off[i], doc, run_hashes(x, start, end)
 
 
-def gram_hashes(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def gram_hashes(h: np.ndarray, doc: np.ndarray, n: int, base: int = WINDOW_BASE) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of each run of n words within a document."""
     if len(h) < n:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    p = prefix_hash(h, WINDOW_BASE)
+    p = prefix_hash(h, base)
     at = np.arange(len(h) - n + 1)
     at = at[doc[at] == doc[at + n - 1]]
-    return at, span_hash(p, at, at + n, WINDOW_BASE)
+    return at, span_hash(p, at, at + n, base)
 
 
 def in_sorted(keys: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

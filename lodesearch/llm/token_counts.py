@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread, task_count
-from .textscan import BASE, U, in_sorted, memo, pieces, prefix_hash, span_hash, text_bytes
+from .shared import id_type, spread, task_count
+from .textscan import U, in_sorted, memo, pieces, run_hashes, text_bytes
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -90,7 +90,7 @@ def split(data: np.ndarray, off: np.ndarray, i: int, j: int):
     start = token_starts(cp, np.unique(first[first < len(cp)]))
     end = np.append(start, len(cp))[1:]
     text = np.searchsorted(first, start, "right") - 1 + i
-    return cp, start, end, text, span_hash(prefix_hash(cp.astype(U) + U(1), BASE), start, end, BASE)
+    return cp, start, end, text, run_hashes(cp, start, end)
 
 
 def strings(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
@@ -126,6 +126,11 @@ def frequencies(data, off, part: int = PART):
         yield i, j, keys, named, text, which
 
 
+def read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def encoder(ranks: bytes):
     import tiktoken
 
@@ -137,6 +142,11 @@ class Hot:
     def __init__(self, keys: np.ndarray, n: np.ndarray):
         self.keys, self.n = keys, n
 
+    def counts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are known, their pieces, 0 for others)."""
+        known, at = in_sorted(self.keys, keys)
+        return known, np.where(known, self.n[np.minimum(at, max(len(self.n) - 1, 0))] if len(self.n) else 0, 0)
+
 
 def hot_counts(texts: DataFrame, n: int, ranks: bytes, hot: int, sample: float) -> Hot:
     """Pieces of the most frequent pre-tokens of that share of n documents, or of about SAMPLE_LEAST if that is more, chosen by a hash of their ids."""
@@ -162,26 +172,23 @@ def hot_counts(texts: DataFrame, n: int, ranks: bytes, hot: int, sample: float)
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, hot: int = HOT, sample: float = SAMPLE) -> DataFrame:
     """(doc_id, n_tokens): one row for each id, with the tokens of all texts of its rows.
 
-    A null id is an id like others. Empty and null texts have no tokens, and their ids are in the result. ranks: the path of a rank
-    file, read by the driver. Other columns aren't read.
+    A null id is an id like others, and ids keep their type. Empty and null texts have no tokens, and their ids are in the result. Texts of any length
+    are read whole. An empty table gives an empty result. ranks: the path of a rank file, read by the driver. Other columns aren't read.
     """
     spark = docs.sparkSession
-    with open(ranks, "rb") as f:
-        table = f.read()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    table, kind = read(ranks), id_type(docs, id_col)
+    texts = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).cast("string").alias("t"))
     n_docs = texts.count()
     get = spread(spark, hot_counts(texts, n_docs, table, hot, sample))
 
     def joined(batches):
         own = get()
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False) if b.column(0).null_count == 0 else None
             data, off = text_bytes(b.column(1), lower=False)
             for i, j, keys, named, text, which in frequencies(data, off):
-                known, at = in_sorted(own.keys, keys)
-                n = np.where(known, own.n[np.minimum(at, max(len(own.n) - 1, 0))] if len(own.n) else 0, 0)
+                known, n = own.counts(keys)
                 sums = np.bincount(text - i, n[which], minlength=j - i).astype(np.int64)
-                yield rows(b, ids, np.arange(i, j), None, sums)
+                yield rows(b, np.arange(i, j), None, sums)
                 rare = np.flatnonzero(~known)
                 if len(rare):
                     place = np.full(len(keys), -1)
@@ -191,10 +198,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     pair, count = np.unique(place[which[some]] * (j - i) + text[some] - i, return_counts=True)
                     k, t = np.divmod(pair, j - i)
                     names = pa.array(named(rare), pa.string())
-                    yield rows(b, ids, t + i, names.take(pa.array(k)), count)
+                    yield rows(b, t + i, names.take(pa.array(k)), count)
 
-    def rows(b, ids, t, names, n):
-        doc = pa.array(ids[t], pa.int64()) if ids is not None else b.column(0).take(pa.array(t))
+    def rows(b, t, names, n):
+        doc = b.column(0).take(pa.array(t))
         return pa.RecordBatch.from_arrays([names if names is not None else pa.nulls(len(t), pa.string()), doc, pa.array(n, pa.int64())], ["token", "id", "n"])
 
     def summed(batches):
@@ -210,7 +217,31 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             which = names.indices.fill_null(len(words)).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(b.column(2).to_numpy() * per[which])], ["doc_id", "n"])
 
-    found = texts.mapInArrow(joined, "token string, id long, n long")
+    found = texts.mapInArrow(joined, f"token string, id {kind}, n long")
     # what is already counted goes anywhere
     by_token = found.repartition(task_count(spark, n_docs * 60, 1_000_000), F.coalesce("token", F.xxhash64("id", "n").cast("string")))
-    return by_token.mapInArrow(summed, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"))
+    return by_token.mapInArrow(summed, f"doc_id {kind}, n long").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"))
+
+
+def row_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, hot: int = HOT, sample: float = SAMPLE) -> DataFrame:
+    """(id, n): the number of tokens of each row's text, null for a null text, in one pass without a shuffle.
+
+    The most frequent pre-tokens are broadcast as above; each part of the texts encodes its other distinct ones once.
+    """
+    table, kind = read(ranks), id_type(docs, id_col)
+    texts = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).cast("string").alias("t"))
+    get = spread(docs.sparkSession, hot_counts(texts, texts.count(), table, hot, sample))
+
+    def run(batches):
+        own, e = get(), memo(("encoder", hash(table)), lambda: encoder(table))
+        for b in batches:
+            data, off = text_bytes(b.column(1), lower=False)
+            sums = np.zeros(b.num_rows, np.int64)
+            for i, j, keys, named, text, which in frequencies(data, off):
+                known, n = own.counts(keys)
+                rare = np.flatnonzero(~known)
+                n[rare] = [len(e.encode_ordinary(w)) for w in named(rare)]
+                sums[i:j] = np.bincount(text - i, n[which], minlength=j - i)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, mask=b.column(1).is_null().to_numpy(zero_copy_only=False))], ["id", "n"])
+
+    return texts.mapInArrow(run, f"id {kind}, n long")

@@ -15,11 +15,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import kept_path
+from .textscan import take_spans
 
 SHARD_ROWS = 1_000_000
 BAD_TERMS = ["adult", "ads", "bets", "casino", "pills", "spam"]
@@ -53,7 +55,7 @@ def listed_hosts(pages: DataFrame, url_col: str = "url", terms: list[str] | None
     labels = F.split(F.col("h"), r"\.")
     domain = F.when(F.size(labels) > 3, F.array_join(F.slice(labels, 2, F.size(labels)), ".")).otherwise(F.col("h"))
     hosts = pages.select(host_of(url_col).alias("h")).where("h <> ''").distinct()
-    return hosts.where(F.arrays_overlap(F.split("h", r"[.\-]"), F.array(*map(F.lit, terms or BAD_TERMS)))).select(domain.alias("entry")).distinct()
+    return hosts.where(F.arrays_overlap(F.split("h", r"[.\-]"), F.array(*map(F.lit, BAD_TERMS if terms is None else terms)).cast("array<string>"))).select(domain.alias("entry")).distinct()
 
 
 def write_arrays(entries: DataFrame, folder: str, entry_col: str = "entry", shard_rows: int = SHARD_ROWS) -> int:
@@ -106,9 +108,8 @@ class Shard:
         left = np.flatnonzero(at < len(self.keys))
         while len(left := left[at[left] < len(self.keys)]):
             left = left[self.keys[at[left]] == digest[left]]
-            for k in left:
-                a, b = self.offsets[at[k] : at[k] + 2]
-                out[k] = self.bytes[a:b].tobytes() == text[int(k)].as_py().encode()
+            stored = take_spans(self.bytes, self.offsets[at[left]], self.offsets[at[left] + 1])
+            out[left] = pc.equal(stored, text.take(pa.array(left)).cast(pa.string())).to_numpy(zero_copy_only=False)
             left = left[~out[left]]
             at[left] += 1
         return out
@@ -120,7 +121,7 @@ def blocked(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_c
     A null URL, or one without a host, is never blocked. Entries are hosts, or hosts with a path, in lower case as to the host; null, empty and repeated
     entries are ignored. An empty list blocks nothing. Other columns aren't read.
     """
-    folder = f"{shared_dir(pages.sparkSession)}/urls-{uuid.uuid4().hex}"
+    folder = kept_path(pages.sparkSession, "urls")
     bits = write_arrays(entries, folder, entry_col, shard_rows)
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     # a projection of its own: digests come from the array, not from parsing again

@@ -70,3 +70,11 @@ def test_empty(spark, documents, prose):
     assert decontaminate.contaminated(documents([]), spark.createDataFrame([(1, "a b c d")], ITEMS)).isEmpty()
     assert decontaminate.contaminated(documents([(1, prose(1, 20))]), none).isEmpty()
     assert decontaminate.drop_contaminated(documents([(1, prose(1, 20))]), none).count() == 1
+
+
+def test_ids_of_other_types_and_many_passes(spark, prose):
+    docs = spark.createDataFrame([("d-1", prose(1, 300)), ("d-2", prose(2, 300))], "doc_id string, text string")
+    items = spark.createDataFrame([("i-1", " ".join(prose(1, 300).split()[100:140])), ("i-2", prose(9, 40)), ("i-3", " ".join(prose(2, 300).split()[:30]))], "item_id string, text string")
+    for n in (1 << 20, 50):
+        got = decontaminate.contaminated(docs, items, item_words_a_pass=n).collect()
+        assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [("d-1", "i-1", 1.0), ("d-2", "i-3", 1.0)]

@@ -25,7 +25,7 @@ def test_counts_by_gram():
         own = grams(t)
         assert n[k] == len(own)
         for lang in range(3):
-            hits = sum(all(f.slots[p[0]] >> lang & 1 for p in f.places(np.array([g], np.uint32))) for g in own)
+            hits = sum(all(f.slots[0][p[0]] >> lang & 1 for p in f.places(np.array([g], np.uint32))) for g in own)
             np.testing.assert_allclose(share[k, lang], (hits / max(len(own), 1) - f.false[lang]) / (1 - f.false[lang]))
             assert hits >= sum(g in set(known[lang].tolist()) for g in own)
 
@@ -51,3 +51,23 @@ def test_odd_rows_and_empty(documents, prose):
     none = language_id.train(documents([]))
     assert [r.language for r in language_id.identify(documents([(1, "some words here")]), none).collect()] == [None]
     assert language_id.identify(documents([(1, "The dog"), (2, "le chien")]), f).orderBy("doc_id").select("language").collect() == [("en",), ("fr",)]
+
+
+def test_more_languages_than_a_mask_word_has_bits(documents, spark):
+    def text(k):
+        return " ".join(chr(97 + k // 10) * 2 + chr(97 + k % 10) * 2 + c for c in "xyz" * 3)
+
+    docs = documents([(k, text(k), f"l{k:03}", "s") for k in range(150)])
+    f = language_id.train(docs)
+    assert len(f.languages) == 150 and f.slots.shape[0] == 3
+    assert all(r.language == f"l{r.doc_id:03}" for r in language_id.identify(docs, f).collect())
+
+
+def test_all_grams_are_in_the_filters_and_ties(documents, prose, spark):
+    docs = documents([(1, prose(1, 9000), "en", "s")])
+    f = language_id.train(docs)
+    own = np.array(sorted(set(grams(prose(1, 9000)))), np.uint32)
+    assert len(own) > 10_000 and all(m == 1 for m in f.masks(own)[0])
+    same = language_id.train(documents([(1, "the same text", "zz", "s"), (2, "the same text", "aa", "s")]))
+    ids = spark.createDataFrame([("6f-1c", "the same text")], "doc_id string, text string")
+    assert [(r.doc_id, r.language) for r in language_id.identify(ids, same).collect()] == [("6f-1c", "aa")]

@@ -90,3 +90,8 @@ def test_odd_rows_and_empty(spark, documents, prose, lattice):
     assert all(r.log_prob == 0 and r.bits_per_char is None for r in got if r.n_words == 0) and all(r.log_prob < 0 for r in got if r.n_words)
     assert lattice_lm.score(documents([]), lattice).isEmpty()
     assert lattice_lm.score_corpus(spark, documents([])).isEmpty()
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("a-1", "some words"), ("a-1", ""), (None, "x y"), ("b", None)], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.n_words) for r in lattice_lm.score_corpus(spark, docs).collect()) == [("None", 2), ("a-1", 0), ("a-1", 2)]

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lodesearch.llm import packing
+from lodesearch.llm import packing, token_counts
 
 from .conftest import odd_rows
 
@@ -20,7 +20,7 @@ def brute(lengths, capacity):
     while left:
         own: list[int] = []
         gap = fill(own, capacity)
-        if gap and len(own) > 1:
+        if gap:
             least = min(own)
             pairs = [(a + b, b, a) for i, a in enumerate(left) for b in left[i + 1 :] if least < a + b <= gap + least]
             if pairs:
@@ -44,6 +44,10 @@ def test_bins_of_brute_force(seed):
     assert sorted(sorted(b) for b in packing.pack(lengths, capacity)) == brute(lengths.tolist(), capacity)
 
 
+def n_tokens(text, e=token_counts.encoder(token_counts.read(token_counts.RANKS))):
+    return len(e.encode_ordinary(text or ""))
+
+
 def check(rows, want, capacity):
     """Every unit of every document is placed once, and no bin overlaps or overflows. want: [(id, length)]."""
     bins, pieces = {}, {}
@@ -64,19 +68,19 @@ def check(rows, want, capacity):
     return bins
 
 
-def test_every_word_has_one_place(documents, prose):
+def test_every_token_has_one_place(documents, prose):
     rows = [(k, prose(k, 1 + k * 7 % 150)) for k in range(200)]
     got = packing.pack_documents(documents(rows, clashing=True), capacity=64, group_rows=60).collect()
-    bins = check(got, [(i, len(t.split())) for i, t in rows], 64)
+    bins = check(got, [(i, n_tokens(t)) for i, t in rows], 64)
     assert len({g for g, _ in bins}) > 1
-    assert sum(len(t.split()) for _, t in rows) / (64 * len(bins)) > 0.95
+    assert sum(n_tokens(t) for _, t in rows) / (64 * len(bins)) > 0.95
 
 
 def test_odd_rows(documents, prose):
     rows = odd_rows(prose)
     got = packing.pack_documents(documents(rows, clashing=True)).collect()
-    check(got, [(r[0], len((r[1] or "").split())) for r in rows], packing.CAPACITY)
-    assert len([r for r in got if r.doc_id == 4]) == -(-150_000 // packing.CAPACITY)
+    check(got, [(r[0], n_tokens(r[1])) for r in rows], packing.CAPACITY)
+    assert len([r for r in got if r.doc_id == 4]) == -(-n_tokens(next(r[1] for r in rows if r[0] == 4)) // packing.CAPACITY)
 
 
 def test_empty(documents):
@@ -91,7 +95,7 @@ def test_query(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = QUERIES["op4_best_fit_packing"](spark, "/root/testdata/sf0.01").collect()
-    want = [(r.doc_id, len(r.text.split())) for r in docs.select("doc_id", "text").collect()]
+    want = [(r.doc_id, n_tokens(r.text)) for r in docs.select("doc_id", "text").collect()]
     assert len(check(got, want, packing.CAPACITY)) <= sum(n for _, n in want) / packing.CAPACITY * 1.02 + 1
 
 
@@ -104,5 +108,14 @@ def test_the_only_document_of_a_bin_is_exchanged():
     assert sorted(sorted(b) for b in bins.values()) == [[22, 23, 30], [42, 53], [84]]
     for seed in range(20):
         lengths = np.random.default_rng(seed).integers(1, 101, 60)
-        got = packing.pack(lengths, 100, single=True)
+        got = packing.pack(lengths, 100)
         assert sorted(n for b in got for n in b) == sorted(lengths) and all(sum(b) <= 100 for b in got)
+
+
+def test_one_id_of_all_rows_is_spread_and_other_types(spark, prose):
+    texts = [prose(k, 20 + k % 9) for k in range(300)]
+    for kind, value in (("long", 7), ("long", None), ("string", "6f1c")):
+        docs = spark.createDataFrame([(value, t) for t in texts], f"doc_id {kind}, text string")
+        got = packing.pack_documents(docs, capacity=256, group_rows=50).collect()
+        assert len({r.bin_group for r in got}) == 6 and len(got) == 300
+        assert sum(r.length for r in got) == sum(map(n_tokens, texts)) and {r.doc_id for r in got} == {value}

@@ -4,8 +4,9 @@ import random
 import re
 import uuid
 
+import pytest
+
 from lodesearch.llm import secrets
-from lodesearch.llm.textscan import memo
 
 from .conftest import CLASHES, odd_rows
 
@@ -14,8 +15,13 @@ def held_out():
     return secrets.examples(seed=99, n=60)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def _trained(spark):
+    secrets.scorer(spark)
+
+
 def built_in():
-    return memo("secret_scorer", lambda: secrets.Scorer(secrets.examples()))
+    return secrets.scorer(None)
 
 
 def flagged(strings):

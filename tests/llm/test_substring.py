@@ -55,3 +55,24 @@ def test_empty(documents):
 
 def test_twin(spark, duck):
     assert spark_rows(QUERIES["op8_substring_repeats"](spark, SMALL)) == duck_rows(duck, ORACLE_SQL["op8_substring_repeats"])
+
+
+def thue_morse(n, a="a", b="b"):
+    own = [0]
+    while len(own) < n:
+        own += [1 - x for x in own]
+    return [b if x else a for x in own[:n]]
+
+
+def test_words_that_polynomial_hashes_confuse(documents, prose):
+    a, b = "".join(thue_morse(1024)), "".join(thue_morse(1024, "b", "a"))
+    rest = prose(1, 60).split()
+    rows = [(1, " ".join([*rest, a, *rest])), (2, " ".join([*rest[:30], "x", a, *rest[:20]])), (3, " ".join([*rest[:30], "y", b, *rest[:20]]))]
+    got = {(r.doc_id, r.start_word) for r in substring.repeated_passages(documents(rows), window=25, gram=9).collect()}
+    assert not any(i in (2, 3) and at > 6 for i, at in got)
+    assert not substring.repeated_passages(documents([(1, " ".join([a] * 20 + rest[:20])), (2, " ".join([b] * 20 + rest[20:40]))]), window=20, gram=10).collect()
+
+
+def test_ids_of_other_types(spark, prose):
+    docs = spark.createDataFrame([("b", prose(1, 80)), ("a", prose(1, 80)), ("c", prose(2, 80))], "doc_id string, text string")
+    assert {(r.doc_id, r.n_windows, r.n_later) for r in substring.repeated_passages(docs).collect()} == {("a", 31, 0), ("b", 31, 31)}

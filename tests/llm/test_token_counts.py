@@ -43,3 +43,24 @@ def test_odd_rows_and_empty(documents, prose, encoding):
     assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(documents(rows, clashing=True)).collect()} == want
     assert token_counts.token_counts(documents([])).isEmpty()
     assert np.array_equal(token_counts.token_starts(np.zeros(0, np.uint32), np.zeros(0, np.int64)), [])
+
+
+def thue_morse(n, a="a", b="b"):
+    own = [0]
+    while len(own) < n:
+        own += [1 - x for x in own]
+    return [b if x else a for x in own[:n]]
+
+
+def test_words_that_polynomial_hashes_confuse(documents):
+    """Thue-Morse words of different letters, many of each, must be told apart."""
+    a, b = "".join(thue_morse(2048)), "".join(thue_morse(2048, "b", "a"))
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(documents([(1, a), (2, b), (3, f"{a} {b} {a}")])).collect()}
+    e = token_counts.encoder(token_counts.read(token_counts.RANKS))
+    assert got == {k: len(e.encode_ordinary(t)) for k, t in ((1, a), (2, b), (3, f"{a} {b} {a}"))}
+
+
+def test_ids_of_other_types_and_rows_alone(spark):
+    docs = spark.createDataFrame([("a-1", "some words"), ("a-1", "more"), (None, "x"), ("b", None)], "doc_id string, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == {"a-1": 3, None: 1, "b": 0}
+    assert sorted((str(r.id), str(r.n)) for r in token_counts.row_tokens(docs).collect()) == [("None", "1"), ("a-1", "1"), ("a-1", "2"), ("b", "None")]
