@@ -5,8 +5,8 @@ characters and of short words and words that repeat the last one among its words
 shares of short texts are drawn to a usual one, for else few words would make any text unusual. For each
 language and source the minimum covariance determinant estimate is found by concentration steps: from coordinatewise
 medians and MADs, the h = coverage * n documents of least Mahalanobis distance give the next mean and covariance,
-until no group's determinant falls any more (by SETTLED of its logarithm; a step never raises it but for the quantile's approximation, and
-`steps` bounds their number). Every step is one pass over all vectors of all groups: percentile_approx
+until no group's determinant falls below its least so far (by SETTLED of its logarithm; only the quantile's approximation can
+raise it again, and `steps` bounds their number). Every step is one pass over all vectors of all groups: percentile_approx
 for the h-th distance and plain sums for the moments, so a group may be of any size. The covariance is scaled so
 that the median distance is that of a chi-square, and documents beyond `cutoff` of it are rejected.
 
@@ -158,16 +158,18 @@ def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     now = materialise(middle.select("g", F.array(*(F.col(c)[1] for c in columns)).alias("center"), F.array(*diagonal).alias("inverse"), F.lit(math.inf).alias("size")), "estimate")
     for _ in range(steps):
         was = now
-        at = x.join(sized(was.drop("size"), names, 400), "g").withColumn("d", distance())
+        at = x.join(sized(was.select("g", "center", "inverse"), names, 400), "g").withColumn("d", distance())
         near = materialise(at.groupBy("g").agg(F.percentile_approx("d", F.lit(coverage), 2000).alias("most")), "quantile")
         core = at.join(sized(near, names, 100), "g").where("d <= most")
         moments = core.groupBy("g").agg(F.count("*").alias("n"), F.array(*(F.sum(c) for c in columns)).alias("s"), F.array(*(F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in PAIRS)).alias("p"))
-        now = materialise(estimates(moments), "estimate")
-        falls = now.join(was.select("g", F.col("size").alias("before")), "g").agg(F.max(F.col("before") - F.col("size"))).first()[0]
+        before = sized(was.select("g", F.col("size").alias("before")), names, 100)
+        now = estimates(moments).join(before, "g").select("g", "center", "inverse", (F.col("before") - F.col("size")).alias("fall"), F.least("before", "size").alias("size"))
+        now = materialise(now, "estimate")
+        falls = now.agg(F.max("fall")).first()[0]
         release(was, near)
         if falls is None or falls <= SETTLED:
             break
-    now = now.drop("size")
+    now = now.select("g", "center", "inverse")
     at = x.join(sized(now, names, 400), "g").withColumn("d", distance())
     scale = at.groupBy("g").agg((F.percentile_approx("d", F.lit(0.5), 2000) / chi_square(0.5, D)).alias("scale"))
     scale = materialise(scale, "scale")
