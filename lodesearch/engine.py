@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
@@ -15,6 +16,7 @@ from .operators import aggregations, postings, rows, scoring
 from .plans import dsl
 from .plans.predicates import matching
 from .sources import mapping as mappings
+from .sources.store import Files
 
 
 @dataclass
@@ -69,11 +71,12 @@ class Index:
         self.documents: DataFrame | None = None
         self._postings: DataFrame | None = None
         self._stats: DataFrame | None = None
+        self.stored = False
         if df is not None:
             self.add(df)
 
     def _changed(self, df: DataFrame) -> None:
-        self.documents, self._postings, self._stats = df, None, None
+        self.documents, self._postings, self._stats, self.stored = df, None, None, False
 
     def add(self, df: DataFrame) -> None:
         """Adds documents, or replaces those with their ids. Rows without an id are left out, of rows that repeat one, one is kept."""
@@ -104,7 +107,36 @@ class Index:
             self._stats = postings.doc_stats(self.documents, self.id_col, mapping=self.mapping.types, stopwords=self.stopwords)
         return self._stats
 
+    def save(self, path: str) -> None:
+        """Stores documents, postings, lengths, mapping, facet fields, stopwords and synonyms in a new folder, and uses what is stored from then on."""
+        spark = self.documents.sparkSession
+        self.documents.write.parquet(f"{path}/documents")
+        postings.write(self.postings, f"{path}/postings")
+        self.doc_stats.write.parquet(f"{path}/lengths")
+        meta = {"id_col": self.id_col, "mapping": self.mapping.types, "facet_fields": self.facet_fields, "stopwords": list(self.stopwords), "synonyms": self.synonyms.table}
+        # written last: a folder without it is an index that was never whole
+        Files(spark, path).write(f"{path}/index.json", json.dumps(meta))
+        self._stored(spark, path)
+
+    def _stored(self, spark: SparkSession, path: str) -> None:
+        self.documents, self._postings, self._stats = (spark.read.parquet(f"{path}/{n}") for n in ("documents", "postings", "lengths"))
+        self.stored = True
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        """An index as save() stored it; nothing is analyzed again."""
+        meta = json.loads(Files(spark, path).read(f"{path}/index.json"))
+        own = cls(id_col=meta["id_col"], mapping=meta["mapping"], facet_fields=meta["facet_fields"])
+        own.stopwords, own.synonyms = Stopwords(meta["stopwords"]), Synonyms(meta["synonyms"])
+        own._stored(spark, path)
+        return own
+
     def match(self, query: Any, semantics: str = "effective", operator: str = "and") -> DataFrame:
+        """The documents that match. With stored postings, queries by index semantics that these can answer don't read texts."""
+        if self.stored and semantics == "index":
+            ids = postings.matching_ids(self.postings, dsl.parse(query, operator), tuple(self.stopwords), self.synonyms)
+            if ids is not None:
+                return self.documents.join(ids, self.documents[self.id_col] == ids["doc_id"], "left_semi")
         return matching(self.documents, query, semantics, operator, mapping=self.mapping.types, id_col=self.id_col, stopwords=tuple(self.stopwords), synonyms=self.synonyms)
 
     def scores(self, matched: DataFrame, node: dsl.Node, scorer: str, boosts: Mapping[str, float] | None = None) -> DataFrame:

@@ -37,15 +37,17 @@ def _all(c: Column, pattern: str) -> Column:
 
 
 def _spaced(c: Column) -> Column:
-    return F.split(F.regexp_replace(c, r"\W+", " "), " ")
+    return F.split(c, r"\W+")
 
 
 def standard(c: str | Column, stopwords: Iterable[str] = ()) -> Column:
     """Lower case; apostrophes inside words split them; tokens of one character are dropped."""
     c = F.lower(_column(c))
+    spread = c
     for pattern, by in ((r"(\w+)'(\w+)", "$1 $2"), (r"(\w+)'s(?!\w)", "$1"), (r"(\w+)s'(?=\w)", "$1s")):
-        c = F.regexp_replace(c, pattern, by)
-    return _without(_spaced(c), stopwords, 2)
+        spread = F.regexp_replace(spread, pattern, by)
+    # three passes only for the texts that need them
+    return _without(_spaced(F.when(F.contains(c, F.lit("'")), spread).otherwise(c)), stopwords, 2)
 
 
 def simple(c: str | Column, stopwords: Iterable[str] = ()) -> Column:
@@ -117,8 +119,6 @@ class CustomOptions:
     remove_stopwords: bool = True
     min_length: int = 1
     max_length: int | None = None
-    preserve_hyphens: bool = False
-    preserve_apostrophes: bool = False
     custom_pattern: str | None = None
 
 
@@ -127,7 +127,6 @@ def custom(c: str | Column, stopwords: Iterable[str] = (), options: CustomOption
     c = _column(c)
     if options.lowercase:
         c = F.lower(c)
-    # hyphens and apostrophes that are preserved at first are separators of the words in the end
     tokens = _all(c, options.custom_pattern) if options.custom_pattern else _spaced(c)
     most = options.max_length
     tokens = _without(tokens, stopwords if options.remove_stopwords else (), max(1, options.min_length))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import analysis
+from ..plans import dsl
 from ..plans.predicates import STRINGS, wildcard_regex, within
 
 INDEXED = ("text", "keyword", "email", "url")
@@ -42,18 +43,24 @@ def indexed_fields(schema: T.StructType, mapping: dict[str, str] | None = None,
     return out
 
 
-def occurrences(df: DataFrame, id_col: str = "id", fields: Iterable[str] | None = None, mapping: dict[str, str] | None = None, stopwords: Iterable[str] = (), nested: bool = True) -> DataFrame:
-    """(doc_id, field, token, pos): every token of every indexed field, by place."""
-    chosen = [(n, c) for n, c in indexed_fields(df.schema, mapping, id_col, nested) if fields is None or n in set(fields)]
-    if not chosen:
-        return df.select(F.col(id_col).alias("doc_id"), F.lit("").alias("field"), F.lit("").alias("token"), F.lit(0).alias("pos")).limit(0)
+def token_fields(df: DataFrame, id_col: str = "id", fields: Iterable[str] | None = None, mapping: dict[str, str] | None = None, stopwords: Iterable[str] = (), nested: bool = True) -> list[tuple[str, Column]]:
+    """(dotted name, array of its tokens, empty if there are none) of each indexed field."""
 
     def tokens(name: str, texts: Column) -> Column:
         kind = (mapping or {}).get(name, "text")
         each = F.transform(texts, lambda t: F.coalesce(analysis.field_tokens(t, kind, name.rpartition(".")[2], stopwords), F.array().cast("array<string>")))
         return F.coalesce(F.flatten(each), F.array().cast("array<string>"))
 
-    parts = F.array(*(F.struct(F.lit(n).alias("field"), tokens(n, c).alias("tokens")) for n, c in chosen))
+    wanted = None if fields is None else set(fields)
+    return [(n, tokens(n, c)) for n, c in indexed_fields(df.schema, mapping, id_col, nested) if wanted is None or n in wanted]
+
+
+def occurrences(df: DataFrame, id_col: str = "id", **options) -> DataFrame:
+    """(doc_id, field, token, pos): every token of every indexed field, by place."""
+    chosen = token_fields(df, id_col, **options)
+    if not chosen:
+        return df.select(F.col(id_col).alias("doc_id"), F.lit("").alias("field"), F.lit("").alias("token"), F.lit(0).alias("pos")).limit(0)
+    parts = F.array(*(F.struct(F.lit(n).alias("field"), tokens.alias("tokens")) for n, tokens in chosen))
     rows = df.select(F.col(id_col).alias("doc_id"), F.explode(parts).alias("p"))
     return rows.select("doc_id", F.col("p.field").alias("field"), F.posexplode("p.tokens").alias("pos", "token")).select("doc_id", "field", "token", "pos")
 
@@ -65,9 +72,10 @@ def build(df: DataFrame, id_col: str = "id", **options) -> DataFrame:
 
 
 def doc_stats(df: DataFrame, id_col: str = "id", **options) -> DataFrame:
-    """(doc_id, dl): number of tokens of each document, 0 for those without any."""
-    counted = occurrences(df, id_col, **options).groupBy("doc_id").agg(F.count("*").alias("dl"))
-    return df.select(F.col(id_col).alias("doc_id")).join(counted, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    """(doc_id, dl): number of tokens of each row, 0 for those without any. A row is counted alone, so nothing is shuffled."""
+    parts = token_fields(df, id_col, **options)
+    total = sum((F.size(tokens) for _, tokens in parts), F.lit(0))
+    return df.select(F.col(id_col).alias("doc_id"), total.cast("long").alias("dl"))
 
 
 def lookup(postings: DataFrame, field: str, token: str) -> DataFrame:
@@ -111,6 +119,45 @@ def expand(postings: DataFrame, field: str, value: str, kind: str = "term", fuzz
     return postings.where((F.col("field") == field) & test).select("doc_id").distinct()
 
 
+def write(postings: DataFrame, path: str) -> None:
+    """Stores postings in order of field and token, so that a lookup reads only the row groups whose range holds the token."""
+    postings.repartitionByRange(F.col("field"), F.col("token"), F.col("doc_id")).sortWithinPartitions("field", "token", "doc_id").write.parquet(path)
+
+
+def matching_ids(postings: DataFrame, node: dsl.Node, stopwords: Iterable[str] = (), synonyms: analysis.Synonyms | None = None) -> DataFrame | None:
+    """(doc_id) of the documents whose tokens match, from postings alone; None for a query that needs the documents.
+
+    What can be looked up: terms, matches, fuzzy terms, prefixes and wildcards of one field, and boolean queries of these where no clause stands
+    in for others (only must and filter, or only should of which one is enough, each with must_not).
+    """
+    if isinstance(node, dsl.Bool):
+        every, some = [*(node.filter or ()), *(node.must or ())], node.should or ()
+        if bool(every) == bool(some) or node.should == () or (some and node.minimum_should_match > 1):
+            return None
+        parts = [matching_ids(postings, c, stopwords, synonyms) for c in every or some]
+        no = [matching_ids(postings, c, stopwords, synonyms) for c in node.must_not or ()]
+        if any(p is None for p in [*parts, *no]):
+            return None
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.join(p, "doc_id", "left_semi") if every else out.unionAll(p)
+        for p in no:
+            out = out.join(p, "doc_id", "left_anti")
+        return out.distinct() if some else out
+    if not isinstance(node, (dsl.Term, dsl.Match, dsl.Fuzzy, dsl.Prefix, dsl.Wildcard)) or node.field in ("*", "") or not isinstance(node.value, str):
+        return None
+    token, v = F.col("token"), node.value.lower()
+    if isinstance(node, dsl.Prefix):
+        test = F.startswith(token, F.lit(v))
+    elif isinstance(node, dsl.Wildcard):
+        test = token.rlike(wildcard_regex(node.value, escape=False))
+    else:
+        k = node.fuzziness if node.fuzziness is not None else (1 if isinstance(node, dsl.Fuzzy) else 0)
+        words = [v, *(synonyms.get(v) if synonyms else ())]
+        test = within(token, F.lit(v), k) | token.isin(words) if k else token.isin(words)
+    return postings.where((F.col("field") == node.field) & test).select("doc_id").distinct()
+
+
 def shard_of(id_col: str | Column, shards: int) -> Column:
     """Shard of a document: its id's characters as digits in base 31, in 32-bit arithmetic, by absolute value."""
     c = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")

@@ -229,6 +229,16 @@ class Compiler:
                 return F.contains(F.lower(c), F.lit(v))
         return self._values(node, scope, test)
 
+    def _guarded(self, words: list[str], test: Callable[[Column, str], Column], scope: Scope) -> Callable[[Column, str], Column]:
+        """test, for those texts only that contain one of the words somewhere, where the field's tokens are parts of its text."""
+
+        def run(c: Column, name: str) -> Column:
+            if scope.type_of(name) not in ("text", "keyword") or "phone" in name.lower():
+                return test(c, name)
+            return _any([F.contains(F.lower(c), F.lit(w)) for w in words]) & test(c, name)
+
+        return run
+
     def _tokens(self, c: Column, name: str, scope: Scope) -> Column:
         return analysis.field_tokens(c, scope.type_of(name), name, self.stopwords)
 
@@ -238,16 +248,19 @@ class Compiler:
             words = [w for w in re.sub(r"\W+", " ", v, flags=re.ASCII).split() if len(w) > 1 and w not in self.stopwords]
             if not words:
                 return F.lit(False)
-            return self._values(node, scope, lambda c, n: proximity(F.transform(analysis.standard(c, self.stopwords), F.lower), words, node.slop, node.fuzziness or 0), True)
+            def test(c, _):
+                return proximity(analysis.standard(c, self.stopwords), words, node.slop, node.fuzziness or 0)
+
+            return self._values(node, scope, test if node.fuzziness else self._guarded([max(words, key=len)], test, scope), True)
         if isinstance(node, dsl.Prefix):
-            return self._values(node, scope, lambda c, n: F.exists(self._tokens(c, n, scope), lambda t: F.startswith(t, F.lit(v))), True)
+            return self._values(node, scope, self._guarded([v], lambda c, n: F.exists(self._tokens(c, n, scope), lambda t: F.startswith(t, F.lit(v))), scope), True)
         if isinstance(node, dsl.Wildcard):
             return self._values(node, scope, lambda c, n: F.exists(self._tokens(c, n, scope), lambda t: t.rlike(wildcard_regex(str(node.value), escape=False))), True)
         k = node.fuzziness if node.fuzziness is not None else (1 if isinstance(node, dsl.Fuzzy) else 0)
         words = [v, *(self.synonyms.get(v) if self.synonyms else ())]
         if k:
             return self._values(node, scope, lambda c, n: F.exists(self._tokens(c, n, scope), lambda t: within(t, F.lit(v), k) | t.isin(words)), True)
-        return self._values(node, scope, lambda c, n: F.arrays_overlap(self._tokens(c, n, scope), F.array(*map(F.lit, words))), True)
+        return self._values(node, scope, self._guarded(words, lambda c, n: F.arrays_overlap(self._tokens(c, n, scope), F.array(*map(F.lit, words))), scope), True)
 
     def _equal_leaf(self, node: dsl.Leaf, scope: Scope) -> Column:
         found = scope.find(node.field)
@@ -378,7 +391,7 @@ class Compiler:
             if found is None:
                 return F.lit(False)
             if isinstance(found[1], STRINGS):
-                return _sure(found[0].isin([str(v) for v in node.values])) if node.values else F.lit(False)
+                return _sure(F.lower(found[0]).isin([str(v).lower() for v in node.values])) if node.values else F.lit(False)
             return _any([self._node(dsl.Term(node.field, v), scope, semantics) for v in node.values])
         leaf = {"index": self._index_leaf, "equality": self._equal_leaf}.get(semantics, self._scan_leaf)
         return leaf(node, scope)
