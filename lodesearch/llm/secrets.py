@@ -48,7 +48,7 @@ MANY = 50
 #: Walks at a time, to bound memory.
 WALKS = 1 << 14
 #: Bytes of texts at a time.
-PART = 4 << 20
+PART = 1 << 20
 REDACTED = "[REDACTED]"
 
 ALNUM = string.ascii_letters + string.digits

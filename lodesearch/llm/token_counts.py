@@ -27,6 +27,8 @@ HOT = 200_000
 SAMPLE = 0.02
 SAMPLE_LEAST = 1000
 PART = 4 << 20
+#: Where nothing is shuffled, smaller parts cost no rows.
+SMALL_PART = 1 << 20
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -237,11 +239,13 @@ def row_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             data, off = text_bytes(b.column(1), lower=False)
             sums = np.zeros(b.num_rows, np.int64)
-            for i, j, keys, named, text, which in frequencies(data, off):
+            for i, j, keys, named, text, which in frequencies(data, off, SMALL_PART):
                 known, n = own.counts(keys)
                 rare = np.flatnonzero(~known)
                 n[rare] = [len(e.encode_ordinary(w)) for w in named(rare)]
                 sums[i:j] = np.bincount(text - i, n[which], minlength=j - i)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, mask=b.column(1).is_null().to_numpy(zero_copy_only=False))], ["id", "n"])
+            del data, off
+        pa.default_memory_pool().release_unused()
 
     return texts.mapInArrow(run, f"id {kind}, n long")
