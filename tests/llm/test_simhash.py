@@ -47,6 +47,66 @@ def test_recall_against_brute_force(spark, broadcast_bytes):
     assert sum(got.get(k) == v for k, v in want.items()) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("options", [{}, {"chunk": 1500}])
+def test_no_link_is_left_out(spark, monkeypatch, options):
+    """2000 pairs of hashes as far apart as the radius, each a group of its own."""
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2, (2000, simhash.BITS), dtype=np.uint8)
+    other = bits.copy()
+    for row in other:
+        row[rng.permutation(simhash.BITS)[: simhash.RADIUS]] ^= 1
+    s = np.packbits(np.concatenate([bits, other]), axis=1).view("<i8").reshape(-1, 2)
+    hashes = spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate(s)], "id long, s0 long, s1 long")
+    monkeypatch.setattr(simhash, "signatures", lambda *_: hashes)
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.near_duplicates(docs, **options).collect()} == {(k + 2000, k) for k in range(2000)}
+
+
+def test_chunks_give_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {tuple(r) for r in simhash.near_duplicates(docs).collect()}
+    assert {tuple(r) for r in simhash.near_duplicates(docs, chunk=300).collect()} == want
+
+
+@pytest.mark.parametrize("broadcast_bytes", [simhash.BROADCAST_BYTES, 0])
+def test_recall_of_sampled_bits(spark, broadcast_bytes):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id for r in simhash.near_duplicates(docs).collect()}
+    got = {r.doc_id for r in simhash.near_duplicates(docs, recall=simhash.RECALL, broadcast_bytes=broadcast_bytes).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 0
+
+
+@pytest.mark.parametrize(("n", "radius"), [(10, 22), (1000, 22), (250_000, 22), (1 << 22, 22), (250_000, 3), (1 << 22, 30)])
+def test_bands_find_pairs_at_the_radius(n, radius):
+    """Each pair as far apart as the radius is found, whatever the number of bands, and nothing beyond it."""
+    rng = np.random.default_rng(n)
+    bits = rng.integers(0, 2, (200, simhash.BITS), dtype=np.uint8)
+    at, beyond = bits.copy(), bits.copy()
+    for k in range(len(bits)):
+        own = rng.permutation(simhash.BITS)
+        at[k, own[:radius]] ^= 1
+        beyond[k, own[: radius + 1]] ^= 1
+    s, near, far = (np.ascontiguousarray(np.packbits(x, axis=1).view("<i8").reshape(-1, 2).T) for x in (bits, at, beyond))
+    bands = simhash.plan_bands(n, radius)
+    assert sum(r + 1 for _, _, r, _ in bands) == radius + 1
+
+    def pairs(a, b, same, parts):
+        found = (x for band in bands for part in range(parts) for x in simhash.band_pairs(a, b, same, band, part, parts, radius))
+        return {(int(x), int(y)) for q, node in found for x, y in zip(q, node, strict=True)}
+
+    assert pairs(s, near, False, 3) == {(k, k) for k in range(200)} and not pairs(s, far, False, 1)
+    both = pairs(np.hstack([s, near]), np.hstack([s, near]), True, 2)
+    assert {tuple(sorted(x)) for x in both if x[0] != x[1]} == {(k, k + 200) for k in range(200)}
+
+
+def test_joined():
+    rng = np.random.default_rng(8)
+    pairs = [tuple(rng.integers(0, 5000, (2, 60_000)) // 50 * 50 + rng.integers(0, 2, (2, 60_000))) for _ in range(9)]
+    pairs = [(a, a // 50 * 50 + (b - b // 50 * 50)) for a, b in pairs]
+    u, v = simhash.joined(iter(pairs), 5000)
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == groups((int(x), int(y)) for a, b in pairs for x, y in zip(a, b, strict=True))
+
+
 def test_forest_is_exact():
     rng = np.random.default_rng(5)
     s = rng.integers(-(1 << 62), 1 << 62, (300, 2))
