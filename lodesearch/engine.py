@@ -98,9 +98,12 @@ class Index:
     @property
     def postings(self) -> DataFrame:
         if self._postings is None:
-            self._postings = postings.build(self.documents, self.id_col, mapping=self.mapping.types, stopwords=self.stopwords)
+            self._postings = self._built()
         return self._postings
 
+    def _built(self, tokens: Iterable[str] | None = None) -> DataFrame:
+        return postings.build(self.documents, self.id_col, tokens, mapping=self.mapping.types, stopwords=self.stopwords)
+
     @property
     def doc_stats(self) -> DataFrame:
         if self._stats is None:
@@ -148,7 +151,7 @@ class Index:
             return matched.withColumn("_score", scoring.term_counts(matched, tokens).cast("double"))
         if scorer != "bm25":
             raise ValueError(f"unknown scorer {scorer}")
-        s = scoring.bm25(self.postings, self.doc_stats, tokens, boosts=dict(boosts or {}))
+        s = scoring.bm25(self.postings if self.stored else self._built(tokens), self.doc_stats, tokens, boosts=dict(boosts or {}))
         return matched.join(s.select(F.col("doc_id").alias(self.id_col), F.col("score").alias("_score")), self.id_col, "left").withColumn("_score", F.coalesce("_score", F.lit(0.0)))
 
     def stats(self) -> dict[str, int]:

@@ -13,6 +13,8 @@ from ..plans import dsl
 from ..plans.predicates import STRINGS, wildcard_regex, within
 
 INDEXED = ("text", "keyword", "email", "url")
+#: Hash values by which repeated ids are marked; the marks take some MB at most.
+BUCKETS = 1 << 18
 
 
 def indexed_fields(schema: T.StructType, mapping: dict[str, str] | None = None, id_col: str = "id", nested: bool = True) -> list[tuple[str, Column]]:
@@ -55,20 +57,60 @@ def token_fields(df: DataFrame, id_col: str = "id", fields: Iterable[str] | None
     return [(n, tokens(n, c)) for n, c in indexed_fields(df.schema, mapping, id_col, nested) if wanted is None or n in wanted]
 
 
+def _tokenized(df: DataFrame, chosen: list[tuple[str, Column]], id_col: str) -> DataFrame:
+    """(doc_id, field, tokens): a row of each indexed field of each row."""
+    parts = F.array(*(F.struct(F.lit(n).alias("field"), tokens.alias("tokens")) for n, tokens in chosen))
+    return df.select(F.col(id_col).alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", F.col("p.field").alias("field"), F.col("p.tokens").alias("tokens"))
+
+
 def occurrences(df: DataFrame, id_col: str = "id", **options) -> DataFrame:
     """(doc_id, field, token, pos): every token of every indexed field, by place."""
     chosen = token_fields(df, id_col, **options)
     if not chosen:
         return df.select(F.col(id_col).alias("doc_id"), F.lit("").alias("field"), F.lit("").alias("token"), F.lit(0).alias("pos")).limit(0)
-    parts = F.array(*(F.struct(F.lit(n).alias("field"), tokens.alias("tokens")) for n, tokens in chosen))
-    rows = df.select(F.col(id_col).alias("doc_id"), F.explode(parts).alias("p"))
-    return rows.select("doc_id", F.col("p.field").alias("field"), F.posexplode("p.tokens").alias("pos", "token")).select("doc_id", "field", "token", "pos")
+    return _tokenized(df, chosen, id_col).select("doc_id", "field", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "field", "token", "pos")
+
+
+def _apart(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id is theirs alone, and the others with a few of the former.
+
+    Ids that repeat are marked by one of BUCKETS hash values, so that the marks can be broadcast at any size. Without any, nothing reads the others.
+    """
+    mark = F.pmod(F.xxhash64(F.col(id_col)), F.lit(BUCKETS))
+    marks = df.groupBy(F.col(id_col).alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1").select(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_mark")).distinct()
+    return tuple(df.join(F.broadcast(marks), mark == marks["_mark"], how) for how in ("left_anti", "left_semi"))
 
 
-def build(df: DataFrame, id_col: str = "id", **options) -> DataFrame:
-    """Postings. A document's tokens of a field are counted map-side, so that only one row a posting is shuffled."""
-    rows = occurrences(df, id_col, **options)
-    return rows.groupBy("field", "token", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_set("pos")).alias("positions"))
+def _grouped(rows: DataFrame, words: list[str] | None) -> DataFrame:
+    """(field, token, doc_id, tf, positions) of each row of (doc_id, field, tokens) alone, from its tokens in order."""
+    placed = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("pos")))
+    if words is not None:
+        placed = F.filter(placed, lambda x: x["token"].isin(words))
+    ordered = rows.select("doc_id", "field", F.sort_array(placed).alias("s"))
+    n = F.size("s")
+    first = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get("s", i)["token"] != F.get("s", i - 1)["token"]))
+    starts = ordered.select("doc_id", "field", "s", first.alias("starts"))
+
+    def posting(i: Column, k: Column) -> Column:
+        own = F.slice("s", i + 1, F.coalesce(F.get("starts", k + 1), n) - i)
+        return F.struct(F.get("s", i)["token"].alias("token"), F.transform(own, lambda x: x["pos"]).alias("positions"))
+
+    out = starts.select("doc_id", "field", F.explode(F.transform("starts", posting)).alias("p"))
+    return out.select("field", "p.token", "doc_id", F.size("p.positions").alias("tf"), "p.positions")
+
+
+def build(df: DataFrame, id_col: str = "id", tokens: Iterable[str] | None = None, **options) -> DataFrame:
+    """Postings, of the given tokens only if there are any given.
+
+    A row is grouped alone, so its postings aren't shuffled; those of rows that share their id with others are added up by a shuffle.
+    """
+    chosen = token_fields(df, id_col, **options)
+    if not chosen:
+        return df.select(F.lit("").alias("field"), F.lit("").alias("token"), F.col(id_col).alias("doc_id"), F.lit(0).alias("tf"), F.array().cast("array<int>").alias("positions")).limit(0)
+    words = None if tokens is None else sorted({t.lower() for t in tokens})
+    alone, shared = (_grouped(_tokenized(part, chosen, id_col), words) for part in _apart(df, id_col))
+    places = F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions"))))
+    return alone.unionAll(shared.groupBy("field", "token", "doc_id").agg(F.sum("tf").cast("int").alias("tf"), places.alias("positions")))
 
 
 def doc_stats(df: DataFrame, id_col: str = "id", **options) -> DataFrame:

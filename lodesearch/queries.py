@@ -464,7 +464,7 @@ def doc_freq(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(count(*) AS INT) AS tf FROM ({_PLACES}) WHERE token = 'the' GROUP BY doc_id")
 def term_freq(spark, sf_dir):
-    p = postings.build(table(spark, sf_dir, "documents"), "doc_id", fields=["text"])
+    p = postings.build(table(spark, sf_dir, "documents"), "doc_id", ["The"], fields=["text"])
     return postings.term_frequency(postings.lookup(p, "text", "The")).select("doc_id", "tf")
 
 
@@ -506,8 +506,8 @@ s AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf +
 
 
 def _bm25(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return scoring.bm25(postings.build(d, "doc_id", fields=["text"]), postings.doc_stats(d, "doc_id", fields=["text"]), ["thand", "heing", "antion"])
+    d, tokens = table(spark, sf_dir, "documents"), ["thand", "heing", "antion"]
+    return scoring.bm25(postings.build(d, "doc_id", tokens, fields=["text"]), postings.doc_stats(d, "doc_id", fields=["text"]), tokens)
 
 
 @query(_BM25 + " SELECT doc_id, round(score, 6) AS score FROM s ORDER BY score DESC, doc_id LIMIT 20")

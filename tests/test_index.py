@@ -60,6 +60,41 @@ def test_lengths_by_row(spark):
     assert postings.balance(spark.createDataFrame([(0, 3), (1, 1)], "shard int, n long")).first().ratio == 1.5
 
 
+REPEATED = [(1, "b a b aa aa bb", "aa"), (2, "aa bb aa", None), (2, "bb aa cc", "x"), (None, "dd", ""), (None, "dd dd ee", None), (3, None, None), (4, "", "It's zz's")]
+
+
+def by_row():
+    """Postings of REPEATED: rows of one id have theirs together."""
+    want: dict = {}
+    for i, a, b in REPEATED:
+        for field, text in (("a", a), ("b", b)):
+            tokens = [t for t in (text or "").lower().replace("'", " ").split() if len(t) > 1]
+            for k, t in enumerate(tokens):
+                want.setdefault((field, t, i), []).append(k)
+    return {k: (len(v), sorted(set(v))) for k, v in want.items()}
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().executedPlan().toString()
+
+
+def test_postings_of_repeated_ids_by_row(spark):
+    df, want = spark.createDataFrame(REPEATED, "id long, a string, b string"), by_row()
+    p = postings.build(df)
+    assert p.columns == ["field", "token", "doc_id", "tf", "positions"]
+    got = [((r.field, r.token, r.doc_id), (r.tf, r.positions)) for r in p.collect()]
+    assert dict(got) == want and len(got) == len(want)
+    some = {(r.field, r.token, r.doc_id): (r.tf, r.positions) for r in postings.build(df, tokens=["AA", "dd", "none"]).collect()}
+    assert some == {k: v for k, v in want.items() if k[1] in ("aa", "dd")}
+    assert postings.build(df.select("id")).collect() == []
+
+
+def test_postings_of_a_row_are_not_shuffled(spark):
+    plan = final_plan(postings.build(spark.read.parquet(f"{SMALL}/documents.parquet"), "doc_id", fields=["text"]))
+    assert "hashpartitioning(field" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_published_stems():
     pairs = "caresses caress,flies fli,dies die,mules mule,denied deni,died die,agreed agre,owned own,humbled humbl,sized size,meeting meet,stating state,itemization item,sensational sensat,traditional tradit,reference refer,colonizer colon,plotted plot,consign consign,consigned consign,consigning consign,consignment consign,consist consist,consistency consist,consistently consist,consolation consol,knack knack,knackeries knackeri,knavish knavish,knightly knight,generously generous,happy happi,running run,relational relat,hopping hop,hoping hope"
     for word, want in (p.split() for p in pairs.split(",")):
