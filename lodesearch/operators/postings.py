@@ -113,6 +113,15 @@ def build(df: DataFrame, id_col: str = "id", tokens: Iterable[str] | None = None
     return alone.unionAll(shared.groupBy("field", "token", "doc_id").agg(F.sum("tf").cast("int").alias("tf"), places.alias("positions")))
 
 
+def pairs(df: DataFrame, id_col: str = "id", **options) -> DataFrame:
+    """(field, token, doc_id): the postings without their places, for what asks for none."""
+    chosen = token_fields(df, id_col, **options)
+    if not chosen:
+        return build(df, id_col, **options).select("field", "token", "doc_id")
+    alone, shared = (_tokenized(part, chosen, id_col).select("field", F.explode(F.array_distinct("tokens")).alias("token"), "doc_id") for part in _apart(df, id_col))
+    return alone.unionAll(shared.distinct())
+
+
 def doc_stats(df: DataFrame, id_col: str = "id", **options) -> DataFrame:
     """(doc_id, dl): number of tokens of each row, 0 for those without any. A row is counted alone, so nothing is shuffled."""
     parts = token_fields(df, id_col, **options)
@@ -134,8 +143,8 @@ def term_frequency(postings: DataFrame) -> DataFrame:
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
-    """(field, token, df)."""
-    return postings.groupBy("field", "token").agg(F.count_distinct("doc_id").alias("df"))
+    """(field, token, df). Of a token, field and document there is one posting, so they are counted as they are."""
+    return postings.groupBy("field", "token").agg(F.count("doc_id").alias("df"))
 
 
 def vocabulary(postings: DataFrame, field: str | None = None) -> DataFrame:

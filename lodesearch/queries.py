@@ -82,7 +82,7 @@ def term_index(spark, sf_dir):
 WITH p AS (SELECT DISTINCT doc_id, unnest({DOC_TOKENS}) AS token FROM documents)
 SELECT DISTINCT doc_id FROM p WHERE token = 'the'""")
 def term_postings(spark, sf_dir):
-    return postings.expand(postings.build(table(spark, sf_dir, "documents"), "doc_id", fields=["text"]), "text", "the")
+    return postings.expand(postings.pairs(table(spark, sf_dir, "documents"), "doc_id", fields=["text"]), "text", "the")
 
 
 @query(twin("documents", "doc_id", "n_chars = 416"))
@@ -125,7 +125,7 @@ def fuzzy_index(spark, sf_dir):
 WITH v AS (SELECT doc_id, unnest({DOC_TOKENS}) AS token FROM documents)
 SELECT DISTINCT doc_id FROM v WHERE levenshtein(token, 'thand') <= 1""")
 def fuzzy_vocabulary(spark, sf_dir):
-    return postings.expand(postings.build(table(spark, sf_dir, "documents"), "doc_id", fields=["text"]), "text", "thand", "fuzzy", 1)
+    return postings.expand(postings.pairs(table(spark, sf_dir, "documents"), "doc_id", fields=["text"]), "text", "thand", "fuzzy", 1)
 
 
 @query(twin("part", "p_partkey", "starts_with(lower(p_name), 'sm')"))
@@ -459,7 +459,7 @@ def postings_build(spark, sf_dir):
 
 @query(f"SELECT 'text' AS field, token, count(DISTINCT doc_id) AS df FROM ({_PLACES}) GROUP BY token")
 def doc_freq(spark, sf_dir):
-    return postings.document_frequency(postings.build(table(spark, sf_dir, "documents"), "doc_id", fields=["text"]))
+    return postings.document_frequency(postings.pairs(table(spark, sf_dir, "documents"), "doc_id", fields=["text"]))
 
 
 @query(f"SELECT doc_id, CAST(count(*) AS INT) AS tf FROM ({_PLACES}) WHERE token = 'the' GROUP BY doc_id")
@@ -475,7 +475,7 @@ def doc_length(spark, sf_dir):
 
 @query(f"SELECT DISTINCT token FROM ({_PLACES}) WHERE starts_with(token, 'anth')")
 def vocabulary_prefix(spark, sf_dir):
-    p = postings.build(table(spark, sf_dir, "documents"), "doc_id", fields=["text"])
+    p = postings.pairs(table(spark, sf_dir, "documents"), "doc_id", fields=["text"])
     return postings.vocabulary(p, "text").where(F.startswith("token", F.lit("anth"))).select("token")
 
 

@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lodesearch import queries
 from lodesearch.engine import Index
 from lodesearch.functions.analysis import Stopwords, Synonyms
 from lodesearch.functions.stemming import stem
@@ -95,6 +98,17 @@ def test_postings_of_a_row_are_not_shuffled(spark):
     assert "hashpartitioning(field" not in plan and "ObjectHashAggregate" not in plan
 
 
+def test_document_frequencies_count_rows(spark):
+    """One row a token and part of the table is shuffled, none a posting."""
+    df, want = spark.createDataFrame(REPEATED, "id long, a string, b string"), by_row()
+    p = postings.pairs(df)
+    assert p.columns == ["field", "token", "doc_id"] and sorted(map(str, p.collect())) == sorted(map(str, postings.build(df).select(*p.columns).collect()))
+    got = {(r.field, r.token): r.df for r in postings.document_frequency(p).collect()}
+    assert got == {(f, t): sum(k[:2] == (f, t) and k[2] is not None for k in want) for f, t, _ in want}
+    plan = final_plan(queries.QUERIES["doc_freq"](spark, SMALL))
+    assert "hashpartitioning(field" in plan and "Exchange hashpartitioning" in plan and not re.search(r"hashpartitioning\(field#\d+, token#\d+, doc_id", plan)
+
+
 def test_published_stems():
     pairs = "caresses caress,flies fli,dies die,mules mule,denied deni,died die,agreed agre,owned own,humbled humbl,sized size,meeting meet,stating state,itemization item,sensational sensat,traditional tradit,reference refer,colonizer colon,plotted plot,consign consign,consigned consign,consigning consign,consignment consign,consist consist,consistency consist,consistently consist,consolation consol,knack knack,knackeries knackeri,knavish knavish,knightly knight,generously generous,happy happi,running run,relational relat,hopping hop,hoping hope"
     for word, want in (p.split() for p in pairs.split(",")):
