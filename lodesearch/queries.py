@@ -482,7 +482,7 @@ def vocabulary_prefix(spark, sf_dir):
 @query(f"SELECT token, doc_id FROM ({_PLACES}) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'de') GROUP BY token, doc_id")
 def postings_delete(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    p = postings.build(d, "doc_id", fields=["text"])
+    p = postings.pairs(d, "doc_id", fields=["text"])
     return postings.without(p, d.where("lang <> 'de'").select("doc_id")).select("token", "doc_id")
 
 

@@ -109,6 +109,17 @@ def test_document_frequencies_count_rows(spark):
     assert "hashpartitioning(field" in plan and "Exchange hashpartitioning" in plan and not re.search(r"hashpartitioning\(field#\d+, token#\d+, doc_id", plan)
 
 
+def test_deleted_documents_are_left_out_before_their_tokens(spark):
+    """By joins without broadcasts, as large tables have them: nothing is shuffled once tokens are rows."""
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = final_plan(queries.QUERIES["postings_delete"](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan[: plan.index("Generate")]
+
+
 def test_published_stems():
     pairs = "caresses caress,flies fli,dies die,mules mule,denied deni,died die,agreed agre,owned own,humbled humbl,sized size,meeting meet,stating state,itemization item,sensational sensat,traditional tradit,reference refer,colonizer colon,plotted plot,consign consign,consigned consign,consigning consign,consignment consign,consist consist,consistency consist,consistently consist,consolation consol,knack knack,knackeries knackeri,knavish knavish,knightly knight,generously generous,happy happi,running run,relational relat,hopping hop,hoping hope"
     for word, want in (p.split() for p in pairs.split(",")):
